@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm import chat_format, exact_dedup, quality_rules
+from candela.llm import best_fit_packing, chat_format, exact_dedup, quality_rules, simhash_dedup
 from candela.llm.common import read
 
 
@@ -15,6 +15,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash_dedup.near_groups(read(spark, sf_dir, "documents"), shingle=4, distance=4)
+    return groups.select("doc_id", simhash_dedup.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality_rules.apply_policy(quality_rules.ledger(read(spark, sf_dir, "documents")), "v1")
     failed = F.col("fail_bits").bitwiseAND(F.lit(quality_rules.mask_of(quality_rules.POLICIES["base"])).cast("long")) != 0
@@ -36,10 +41,16 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing.pack(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op5_simhash_dedup": op5_simhash_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_chat_format": op7_chat_format,
+    "op8_best_fit_packing": op8_best_fit_packing,
 }
 
 _WS = r"[\x20\x09-\x0D]+"
@@ -50,8 +61,8 @@ ORACLES: dict[str, str] = {
                doc_id = min(doc_id) OVER (PARTITION BY n) AS kept, sha256(n) AS text_sha256
         FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '{_WS}', ' ', 'g') AS n FROM documents)""",
     "op6_quality_rules": rf"""
-        WITH d AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '{_WS}'), x -> x <> '') AS w,
-                          list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+        WITH d AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '{_WS}'), lambda x: x <> '') AS w,
+                          list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
                    FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
         g AS (SELECT doc_id, i, w[i:i + 4] AS k FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM d)),
         r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM g) WHERE c > 1),
