@@ -31,6 +31,18 @@ def bounded(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], rows: int, by: Column, how: str = "inner", salts: int = 16) -> DataFrame:
+    """left joined with right, whose keys are distinct and which has `rows` rows, where one key may hold a third of left.
+
+    Broadcasts within the bound. Beyond it, left is dealt by the keys and a salt hashed from `by`, and right is
+    repeated for each salt, so that a hot key is spread over many tasks.
+    """
+    if rows <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), on, how)
+    salted = right.withColumn("j_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.withColumn("j_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(salted, [*on, "j_salt"], how).drop("j_salt")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, whatever extra columns it carries."""
     have = {c.lower() for c in df.columns}

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candela.llm.common import WS, bounded, durable, fresh, shards_for, text_or_empty
+from candela.llm.common import WS, bounded, durable, fresh, hot_join, shards_for, text_or_empty
 
 #: Fingerprints a merged shard should hold; the number of shards follows the rows.
 SHARD_ROWS = 1 << 20
@@ -123,16 +123,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repeated = durable(repeated_fingerprints(digests.select("fp"), digests.count()))
     suspects = bounded(repeated.select("fp"), repeated.count())
     # Byte verification: grouping by the text itself. Copies within a partition collapse before the shuffle.
-    verified = (
+    verified = durable(
         source.withColumn("fp", F.xxhash64("norm")).join(suspects, "fp").groupBy("fp", "norm").agg(F.count("*").alias("n"))
         .where("n > 1").select("fp", F.sha2("norm", 256).alias("text_sha256"))
     )
-    groups = (
-        digests.join(verified, ["fp", "text_sha256"])
+    groups = durable(
+        hot_join(digests, verified, ["fp", "text_sha256"], verified.count(), F.col("row"))
         .groupBy("fp", "text_sha256").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"), F.count("*").alias("size"))
         .select("fp", "text_sha256", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row"), "size")
     )
-    return digests.join(groups, ["fp", "text_sha256"], "left").select(
+    return hot_join(digests, groups, ["fp", "text_sha256"], groups.count(), F.col("row"), "left").select(
         "doc_id",
         F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
