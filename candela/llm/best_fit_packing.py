@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -30,10 +31,10 @@ from candela.llm.common import durable, text_or_empty
 
 CAPACITY = 2048
 END_ID = 0
-ROUNDS = 120  # of multiplicative weights
+ROUNDS = 60  # of multiplicative weights
 SALTS, ROWS_PER_SALT = 64, 50_000
-CACHE_WORDS = 200_000  # words whose ids a worker remembers
-SPECIAL = ("<|startoftext|>", "<|endoftext|>")
+CACHE_WORDS = 500_000  # words whose ids a worker remembers, in each of two generations
+MARK = "\x01"
 
 
 def default_tokenizer() -> str:
@@ -51,45 +52,88 @@ def _tokenizer(path: str):
 
 
 class WordIds:
-    """Ids of texts under a tokenizer whose tokens never span white space: found word by word, with a bounded memory."""
+    """Ids of texts under a tokenizer that folds case and whose tokens never span white space: found word by word.
+
+    The ids of seen words are remembered in two generations of at most `limit` words each; a worker keeps them from
+    task to task. Unseen words are encoded together, parted by a mark that is a token of its own.
+    """
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
-        self.tokenizer, self.known, self.limit = _tokenizer(path), {}, limit
-
-    def __call__(self, text: bytes) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if b"<|" in text and any(s.encode() in text for s in SPECIAL):  # may be cut out before words are
-            return array("I", self.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
-        words = text.split()
-        known = self.known
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) + len(new) > self.limit:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                known[w] = array("I", e.ids).tobytes()
-        return b"".join([known[w] for w in words])
+        self.tokenizer, self.limit = _tokenizer(path), limit
+        self.known, self.old = {}, {}
+        self.mark = self._encode(MARK)
+        if len(self.mark) != 4:
+            raise ValueError("the mark between words must be a single token")
+
+    def _encode(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _learn(self, words: set[bytes]) -> None:
+        if len(self.known) > self.limit:
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        new = [w for w in words if w not in known]
+        unseen = [w for w in new if w not in old]
+        known.update((w, old[w]) for w in new if w in old)
+        mark, mark_bytes = int.from_bytes(self.mark, "little"), MARK.encode()
+        odd = [w for w in unseen if mark_bytes in w]
+        plain = [w for w in unseen if mark_bytes not in w] if odd else unseen
+        for at in range(0, len(plain), 20_000):
+            some = plain[at : at + 20_000]
+            ids = self._encode(f" {MARK} ".join([w.decode() for w in some]) + f" {MARK}")
+            begin = 0
+            for w, end in zip(some, (4 * np.flatnonzero(np.frombuffer(ids, "<u4") == mark)).tolist(), strict=True):
+                known[w] = ids[begin:end]
+                begin = end + 4
+        known.update((w, self._encode(w.decode())) for w in odd)
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        # A special token's string is cut out before words are: such texts are encoded whole.
+        words = [None if b"<|" in t else t.lower().split() for t in texts]
+        self._learn(set().union(*[w for w in words if w]))
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, w)) if w is not None else array("I", self.tokenizer.encode(t.decode(), add_special_tokens=False).ids).tobytes() for t, w in zip(texts, words, strict=True)]
+
+
+@lru_cache(maxsize=1)
+def _word_ids(path: str) -> WordIds:
+    return WordIds(path)
+
+
+def _blocks(texts: list[bytes], rows: int = 256, size: int = 4 << 20) -> Iterator[list[bytes]]:
+    """Consecutive texts, by a number of rows and of bytes at most (a longer text alone)."""
+    block, held = [], 0
+    for t in texts:
+        if block and (len(block) >= rows or held + len(t) > size):
+            yield block
+            block, held = [], 0
+        block.append(t)
+        held += len(t)
+    if block:
+        yield block
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids and the end id, cut into pieces of the capacity."""
     path = tokenizer or default_tokenizer()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_of, end = WordIds(path), END_ID.to_bytes(4, "little")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_of, end = _word_ids(path), END_ID.to_bytes(4, "little")
         for batch in batches:
-            out = []
-            for row, text in enumerate(batch["text"]):
-                ids = ids_of(text.encode()) + end
-                n = len(ids) // 4
-                out += [(row, p, a, min(capacity, n - a), zlib.crc32(ids[4 * a : 4 * (a + capacity)])) for p, a in enumerate(range(0, n, capacity))]
-            frame = pd.DataFrame(out, columns=["row", "piece", "start", "length", "ids_crc32"])
-            frame.insert(0, "doc_id", batch["doc_id"].to_numpy()[frame.pop("row").to_numpy(int)])
-            yield frame
+            out, row = [], 0
+            for block in _blocks([t.as_py() for t in batch.column(1).cast(pa.binary())]):
+                for ids in ids_of(block):
+                    ids += end
+                    n = len(ids) // 4
+                    out += [(row, p, a, min(capacity, n - a), zlib.crc32(ids[4 * a : 4 * (a + capacity)])) for p, a in enumerate(range(0, n, capacity))]
+                    row += 1
+            rows, *rest = map(list, zip(*out, strict=True)) if out else [[]] * 5
+            types = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *[pa.array(c, t) for c, t in zip(rest, types, strict=True)]], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     source = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return source.mapInPandas(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
 def knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> dict[int, int]:
@@ -167,7 +211,7 @@ def best_fit(hist: dict[int, int], capacity: int) -> list[tuple[dict[int, int],
     return [(dict(c), n) for bins in open_bins.values() for c, n in bins.items()]
 
 
-def plan(hist: dict[int, int], capacity: int = CAPACITY, passes: int = 3) -> list[tuple[dict[int, int], int]]:
+def plan(hist: dict[int, int], capacity: int = CAPACITY, passes: int = 2) -> list[tuple[dict[int, int], int]]:
     """Configurations (length: pieces) and how many sequences have each; together they hold the histogram exactly."""
     left, out = dict(hist), []
     if full := left.pop(capacity, 0):
