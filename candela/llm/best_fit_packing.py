@@ -72,9 +72,10 @@ class WordIds:
         if len(self.known) > self.limit:
             self.known, self.old = {}, self.known
         known, old = self.known, self.old
-        new = [w for w in words if w not in known]
-        unseen = [w for w in new if w not in old]
-        known.update((w, old[w]) for w in new if w in old)
+        new = words.difference(known)
+        again = new.intersection(old)
+        unseen = list(new.difference(again))
+        known.update((w, old[w]) for w in again)
         mark, mark_bytes = int.from_bytes(self.mark, "little"), MARK.encode()
         odd = [w for w in unseen if mark_bytes in w]
         plain = [w for w in unseen if mark_bytes not in w] if odd else unseen

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm import best_fit_packing, chat_format, exact_dedup, quality_rules, simhash_dedup
+from candela.llm import best_fit_packing, chat_format, exact_dedup, quality_rules, simhash_dedup, substring_dedup
 from candela.llm.common import read
 
 
@@ -15,6 +15,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_words(read(spark, sf_dir, "documents"))
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_dedup.near_groups(read(spark, sf_dir, "documents"), shingle=4, distance=4)
     return groups.select("doc_id", simhash_dedup.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
@@ -47,6 +51,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_substring_dedup": op2_substring_dedup,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_chat_format": op7_chat_format,
@@ -60,6 +65,16 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY n) AS keep_id, count(*) OVER (PARTITION BY n) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY n) AS kept, sha256(n) AS text_sha256
         FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '{_WS}', ' ', 'g') AS n FROM documents)""",
+    "op2_substring_dedup": rf"""
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{_WS}'), lambda x: x <> '') AS w FROM documents),
+        g AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS k FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM d)),
+        r AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS low FROM g) WHERE low < doc_id),
+        c AS (SELECT DISTINCT doc_id, i + o AS p FROM r, (SELECT unnest(range(50)) AS o)),
+        x AS (SELECT d.doc_id, p.pos, p.word FROM d, LATERAL (SELECT unnest(d.w) AS word, unnest(generate_series(1, len(d.w))) AS pos) p),
+        s AS (SELECT x.doc_id, count(*) FILTER (c.p IS NOT NULL) AS n_removed, coalesce(string_agg(x.word, ' ' ORDER BY x.pos) FILTER (c.p IS NULL), '') AS kept
+              FROM x LEFT JOIN c ON x.doc_id = c.doc_id AND x.pos = c.p GROUP BY x.doc_id)
+        SELECT d.doc_id, len(d.w) AS n_words, coalesce(s.n_removed, 0) AS n_removed, sha256(coalesce(s.kept, '')) AS kept_sha256
+        FROM d LEFT JOIN s USING (doc_id)""",
     "op6_quality_rules": rf"""
         WITH d AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '{_WS}'), lambda x: x <> '') AS w,
                           list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
