@@ -37,7 +37,7 @@ from candela.llm.fm_index import FMIndex, matched_windows
 WINDOW, GRAM = 50, 20
 #: Segments a shard should hold, windows a segment may have, and different segments of one anchor that count as hot.
 SHARD_SEGMENTS, SEGMENT_WINDOWS, HOT_SEGMENTS = 8_000, 64, 4_000
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 FACTOR = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(FACTOR, -1, 1 << 64)
 
