@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,26 +19,44 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder of spark.checkpoint.dir, so that a lost executor costs no earlier stage."""
-    context = df.sparkSession.sparkContext
+def _shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one of our own only where none is set, as in tests."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("candela"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("candela"))
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a checkpoint in the shared folder, so that a lost executor costs no earlier stage."""
+    _shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """As durable(), as a compressed table whose columns can be read apart. Returns its path too, for discard()."""
+    path = f"{_shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def bounded(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast where the counted rows allow it; otherwise leave the join to shuffle (AQE splits hot keys)."""
     return F.broadcast(df) if rows <= limit else df
 
 
-def hot_join(left: DataFrame, right: DataFrame, on: list[str], rows: int, by: Column, how: str = "inner", salts: int = 16) -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], rows: int, by: Column, how: str = "inner", salts: int = 16, limit: int = BROADCAST_ROWS) -> DataFrame:
     """left joined with right, whose keys are distinct and which has `rows` rows, where one key may hold a third of left.
 
     Broadcasts within the bound. Beyond it, left is dealt by the keys and a salt hashed from `by`, and right is
     repeated for each salt, so that a hot key is spread over many tasks.
     """
-    if rows <= BROADCAST_ROWS:
+    if rows <= limit:
         return left.join(F.broadcast(right), on, how)
     salted = right.withColumn("j_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.withColumn("j_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(salted, [*on, "j_salt"], how).drop("j_salt")

@@ -4,7 +4,7 @@ A window is `window` consecutive words of one document. A word goes if a window
 document with a smaller doc_id. Shards are cut by content, so that every occurrence of a window meets in one shard and
 work grows with the text, not with documents times shards:
 
-1. Each window has an anchor, the smallest hash of the 20-word grams in it. Consecutive windows with one anchor form a
+1. Each window has an anchor, the smallest hash of the 12-word grams in it. Consecutive windows with one anchor form a
    segment. Anchors seen in a single document are dropped; they cannot repeat.
 2. Equal segments are collapsed to one with its smallest doc_id, before the shuffle. Anchors that still have very many
    different segments are cut into single windows and dealt by these, so none outgrows a shard.
@@ -31,12 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candela.llm.common import bounded, durable, hot_join, shards_for, text_or_empty
+from candela.llm.common import bounded, discard, durable, hot_join, shards_for, text_or_empty, written
 from candela.llm.fm_index import FMIndex, matched_windows
 
-WINDOW, GRAM = 50, 20
+WINDOW, GRAM = 50, 12
 #: Segments a shard should hold, windows a segment may have, and different segments of one anchor that count as hot.
 SHARD_SEGMENTS, SEGMENT_WINDOWS, HOT_SEGMENTS = 8_000, 64, 4_000
+#: Rows up to which this operator broadcasts; low, so that plans are the same for small and large tables.
+SMALL = 10_000
 BLOCK_BYTES = 1 << 20
 FACTOR = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(FACTOR, -1, 1 << 64)
@@ -244,12 +246,12 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     keys = ["doc_id", "text_hash"]
     digests = durable(_digests(source, window, gram))
-    anchors = digests.where("doc_id is not null").select(*keys, F.explode("anchors").alias("anchor"))
+    anchors = digests.where("doc_id is not null").select("doc_id", F.explode("anchors").alias("anchor"))
     shared = durable(anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"))
-    lists = hot_join(anchors, shared, ["anchor"], shared.count(), F.col("doc_id")).groupBy(*keys).agg(F.collect_set("anchor").alias("shared"))
-    rows = _segment_rows(source.join(lists, keys), window, gram)
+    lists = hot_join(anchors, shared, ["anchor"], shared.count(), F.col("doc_id"), limit=SMALL).groupBy("doc_id").agg(F.collect_set("anchor").alias("shared"))
+    rows = _segment_rows(source.join(lists, "doc_id"), window, gram)
     ids = [F.xxhash64("segment").alias("id"), F.xxhash64(F.lit(1), "segment").alias("id2")]
-    rows = durable(rows.select("*", *ids))
+    rows, path = written(rows.select("*", *ids))
     # Anchors with very many different segments are dealt window by window.
     hot = durable(rows.select("anchor", "id", "id2").distinct().groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot_segments).select("anchor"))
     if n_hot := hot.count():
@@ -270,13 +272,14 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         distinct.withColumn("shard", F.pmod(F.xxhash64("anchor", F.lit(7)), F.lit(shards)))
         .groupBy("shard").applyInPandas(search, "id long, id2 long, low long, begins array<long>, ends array<long>")
     )
-    marks = hot_join(rows.select(*keys, "start", "windows", "id", "id2"), verdicts, ["id", "id2"], verdicts.count(), F.struct("doc_id", "start"))
+    marks = hot_join(rows.select(*keys, "start", "windows", "id", "id2"), verdicts, ["id", "id2"], verdicts.count(), F.struct("doc_id", "start"), limit=SMALL)
     whole = F.array(F.struct(F.col("start").alias("b"), (F.col("start") + F.col("windows") + F.lit(window - 1)).alias("e")))
     part = F.zip_with("begins", "ends", lambda b, e: F.struct((F.col("start") + b).alias("b"), (F.col("start") + e).alias("e")))
     gone = durable(
         marks.select(*keys, F.explode(F.when(F.col("doc_id") > F.col("low"), whole).otherwise(part)).alias("x"))
         .groupBy(*keys).agg(F.collect_set("x").alias("gone"))
     )
+    discard(docs.sparkSession, path)
     changed = _without(source.join(gone, keys))
     return digests.join(changed, keys, "left").select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("left_sha256", "all_sha256").alias("kept_sha256"),
