@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,16 +29,33 @@ def _shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Rows of an Arrow batch while tables are cut: documents may be long, so batches of whole texts must be short.
+BATCH_ROWS = 1_000
+
+
+@contextmanager
+def _short_batches(spark: SparkSession) -> Iterator[None]:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage by a checkpoint in the shared folder, so that a lost executor costs no earlier stage."""
     _shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _short_batches(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """As durable(), as a compressed table whose columns can be read apart. Returns its path too, for discard()."""
     path = f"{_shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _short_batches(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

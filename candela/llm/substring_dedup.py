@@ -280,7 +280,7 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .groupBy(*keys).agg(F.collect_set("x").alias("gone"))
     )
     discard(docs.sparkSession, path)
-    changed = _without(source.join(gone, keys))
+    changed = durable(_without(source.join(gone, keys)))
     return digests.join(changed, keys, "left").select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("left_sha256", "all_sha256").alias("kept_sha256"),
     )
