@@ -30,7 +30,7 @@ def _shared_dir(spark: SparkSession) -> str:
 
 
 #: Rows of an Arrow batch while tables are cut: documents may be long, so batches of whole texts must be short.
-BATCH_ROWS = 1_000
+BATCH_ROWS = 256
 
 
 @contextmanager

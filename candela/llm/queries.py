@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm import best_fit_packing, chat_format, exact_dedup, quality_rules, simhash_dedup, substring_dedup
+from candela.llm import best_fit_packing, chat_format, exact_dedup, license_scan, quality_classifier, quality_rules, simhash_dedup, source_mixing, substring_dedup, url_filters
 from candela.llm.common import read
 
 
@@ -19,6 +19,23 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_words(read(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality_classifier.score(docs, quality_classifier.train(docs, read(spark, sf_dir, "labels")))
+
+
+URL_RULES = [
+    url_filters.UrlRule("block", "net", "/"),
+    url_filters.UrlRule("allow", "example.net", "/en/"),
+    url_filters.UrlRule("block", "example.com", "/de/"),
+    url_filters.UrlRule("allow", "org", "/fr/"),
+]
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.filter_urls(read(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_dedup.near_groups(read(spark, sf_dir, "documents"), shingle=4, distance=4)
     return groups.select("doc_id", simhash_dedup.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
@@ -49,13 +66,25 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(read(spark, sf_dir, "documents"))
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.schedule(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_url_filters": op4_url_filters,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_chat_format": op7_chat_format,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_license_scan": op9_license_scan,
+    "op10_source_mixing": op10_source_mixing,
 }
 
 _WS = r"[\x20\x09-\x0D]+"
@@ -75,6 +104,18 @@ ORACLES: dict[str, str] = {
               FROM x LEFT JOIN c ON x.doc_id = c.doc_id AND x.pos = c.p GROUP BY x.doc_id)
         SELECT d.doc_id, len(d.w) AS n_words, coalesce(s.n_removed, 0) AS n_removed, sha256(coalesce(s.kept, '')) AS kept_sha256
         FROM d LEFT JOIN s USING (doc_id)""",
+    # Labels come from the rules alone here, so no template without a rule is ever rejected.
+    "op4_url_filters": r"""
+        WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
+        p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                     regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+        r AS (SELECT *, CASE
+                WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+                WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+                WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+                WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM p)
+        SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM r""",
     "op6_quality_rules": rf"""
         WITH d AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '{_WS}'), lambda x: x <> '') AS w,
                           list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
