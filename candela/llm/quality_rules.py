@@ -116,4 +116,6 @@ def keep_good(docs: DataFrame, text_col: str = "text", policy: str | list[str] =
     df = docs.select(F.struct(*docs.columns).alias(row), text_or_empty(text_col).alias(text))
     names = POLICIES[policy] if isinstance(policy, str) else policy
     bits = _measured(df, text).withColumn("fail_bits", failure_bits())
-    return apply_policy(bits, names).where("kept").select(f"{row}.*")
+    # Not deterministic, so the optimizer keeps the filter above the measurements and evaluates them once.
+    bits = apply_policy(bits, names).withColumn("m_once", F.monotonically_increasing_id())
+    return bits.where("kept and m_once >= 0").select(f"{row}.*")
