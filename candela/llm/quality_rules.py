@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candela.llm.common import WS, fresh, text_or_empty, words_of
+from candela.llm.common import WS, durable, text_or_empty, words_of
 
 WINDOW = 5
 
@@ -85,9 +85,9 @@ def failure_bits(rules: list[Rule] = RULES) -> Column:
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] = RULES) -> DataFrame:
-    """doc_id, the measurements and fail_bits, one row per document."""
+    """doc_id, the measurements and fail_bits, one row per document; stored, so that policies never evaluate a rule again."""
     df = _measured(docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("m_text")), "m_text")
-    return df.select("doc_id", *MEASURES).withColumn("fail_bits", failure_bits(rules))
+    return durable(df.select("doc_id", *MEASURES).withColumn("fail_bits", failure_bits(rules)))
 
 
 def apply_policy(book: DataFrame, policy: str | list[str], rules: list[Rule] = RULES) -> DataFrame:

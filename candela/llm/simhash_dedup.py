@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candela.llm.common import bounded, durable, fresh, text_or_empty
+from candela.llm.common import bounded, durable, fresh, hot_join, text_or_empty
 from candela.llm.components import components
 
 LOW = 0x5555555555555555
@@ -173,9 +173,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
     labels = components(fingerprint_links(nodes.select("fp"), nodes.count(), distance, bands))
     labelled = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("label", "fp").alias("label"))
-    lowest = labelled.groupBy("label").agg(F.min("low").alias("component_id"))
-    named = labelled.join(lowest, "label").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    # Only groups of several fingerprints are looked up; a single one is named by its own smallest document.
+    joined = durable(labelled.where("fp <> label").select("label").distinct())
+    n = joined.count()
+    grouped = hot_join(labelled, joined, ["label"], n, F.col("fp")).groupBy("label").agg(F.min("low").alias("least"))
+    named = durable(hot_join(labelled, grouped, ["label"], n, F.col("fp"), "left").select("fp", F.when(F.col("fp").eqNullSafe(F.col("label")) & F.col("least").isNull(), F.col("low")).otherwise(F.col("least")).alias("component_id")))
+    return hot_join(prints, named, ["fp"], named.count(), F.col("doc_id")).select("doc_id", "fp", "component_id")
 
 
 def hex_of(fp: Column) -> Column:

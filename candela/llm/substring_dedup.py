@@ -264,8 +264,8 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         found = shard_intervals([bytes(s) for s in group["segment"]], group["low"].to_numpy(np.int64), window)
         keep = np.array([bool(f) or lo < hi for f, lo, hi in zip(found, group["low"], group["high"], strict=True)], bool)
         out = group.loc[keep, ["id", "id2", "low"]].copy()
-        out["begins"] = [[a for a, _ in f] for f, k in zip(found, keep, strict=True) if k]
-        out["ends"] = [[b for _, b in f] for f, k in zip(found, keep, strict=True) if k]
+        for name, at in (("begins", 0), ("ends", 1)):  # object columns also where there are no rows
+            out[name] = pd.Series([[x[at] for x in f] for f, k in zip(found, keep, strict=True) if k], index=out.index, dtype=object)
         return out
 
     verdicts = durable(
