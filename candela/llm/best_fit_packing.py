@@ -33,7 +33,7 @@ CAPACITY = 2048
 END_ID = 0
 ROUNDS = 60  # of multiplicative weights
 SALTS, ROWS_PER_SALT = 64, 50_000
-CACHE_WORDS = 500_000  # words whose ids a worker remembers, in each of two generations
+CACHE_WORDS = 700_000  # words whose ids a worker remembers, in each of two generations
 MARK = "\x01"
 
 
