@@ -22,6 +22,7 @@ class Ingest:
 @dataclass
 class Retrieval:
     mode: str = "hybrid"
+    sparse: str = "bm25"
     reranker: str | None = "overlap"
     fetch_k: int = 20
     rerank_k: int = 20
@@ -33,6 +34,7 @@ class Retrieval:
 
 @dataclass
 class Agent:
+    route: bool = False
     decompose: bool = True
     max_subqueries: int = 3
     retrieval_strategy: str = "single"
@@ -41,9 +43,14 @@ class Agent:
     compress_sentences: int = 4
     crag: bool = False
     crag_threshold: float = 0.5
+    crag_retries: int = 1
     min_relevance: float = 0.0
     verifier: str | None = "reranker"
     support_threshold: float = 0.05
+    self_correct: bool = False
+    self_correct_below: float = 0.5
+    context: str = "chunk"
+    context_window: int = 1
     context_chars: int = 4000
 
 
@@ -65,6 +72,13 @@ class Config:
             raise ValueError("ingest.chunk_overlap must be at least 0 and below chunk_size")
         if min(self.retrieval.fetch_k, self.retrieval.rerank_k, self.retrieval.top_k) < 1:
             raise ValueError("retrieval.fetch_k, rerank_k and top_k must be at least 1")
+        for name, value, allowed in (
+            ("retrieval.mode", self.retrieval.mode, {"sparse", "dense", "hybrid"}), ("retrieval.sparse", self.retrieval.sparse, {"bm25", "term_weights"}),
+            ("agent.context", self.agent.context, {"chunk", "window", "section"}), ("agent.compression", self.agent.compression, {"none", "extractive"}),
+            ("agent.retrieval_strategy", self.agent.retrieval_strategy, {"single", "iterative"}),
+        ):
+            if value not in allowed:
+                raise ValueError(f"{name} must be one of {sorted(allowed)}")
 
 
 def _value(text: str) -> Any:

@@ -6,11 +6,15 @@ column. Real models take the same places as Arrow UDFs (`pandas_scorer`).
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from candela.functions import text as T
 from candela.operators.retrieval import containment_scorer, overlap_scorer
@@ -42,3 +46,48 @@ def split_question(question: Column, most: int = 3) -> Column:
     """A stand-in for a decomposer: the question's sentences, when there are several."""
     parts = T.sentences(question, T.REFERENCE_SENTENCE)
     return F.when(F.size(parts) > 1, F.slice(F.array_distinct(parts), 1, most)).otherwise(F.array().cast("array<string>"))
+
+
+def route(question: Column) -> Column:
+    """A stand-in for a router: greetings and thanks are answered directly, all else is searched."""
+    return F.when(question.rlike(r"(?i)^\W*(hi|hello|hey|thanks|thank you)\b\W*$"), "ANSWER_DIRECTLY").otherwise("SEARCH")
+
+
+def missing_tokens(question: Column, texts: Column) -> Column:
+    """A stand-in for naming what is missing: the question's tokens that no passage has; null where none is missing."""
+    left = F.array_except(F.array_distinct(T.tokens(question)), F.flatten(F.transform(texts, T.tokens)))
+    return F.nullif(F.array_join(left, " "), F.lit(""))
+
+
+def rewritten(question: Column, texts: Column) -> Column:
+    """A stand-in for a rewriter: the question's tokens, then the first eight of the best passage."""
+    return F.array_join(F.array_distinct(F.concat(T.tokens(question), F.slice(T.tokens(F.get(texts, F.lit(0))), 1, 8))), " ")
+
+
+def corrected_answer(question: Column, passages: Column) -> Column:
+    """A stand-in for a second generation: from each passage the sentence that shares most tokens with the question, cited."""
+    asked = F.array_distinct(T.tokens(question))
+    scored = lambda p: F.transform(T.sentences(p["text"]), lambda s, i: F.struct(F.size(F.array_intersect(T.tokens(s), asked)).alias("n"), (-i).alias("i"), s.alias("s")))
+    claims = F.transform(passages, lambda p: F.struct(F.array_max(scored(p)).alias("best"), F.array(p["rank"]).alias("citations")))
+    told = F.transform(F.filter(claims, lambda c: c["best"]["n"] > 0), lambda c: F.struct(c["best"]["s"].alias("text"), c["citations"]))
+    return F.to_json(F.struct(told.alias("claims")))
+
+
+DIMENSIONS = 64
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def embed(texts: pd.Series) -> pd.Series:
+    """A stand-in for an embedder: signed token hashes summed into DIMENSIONS and scaled to length one, over the whole text."""
+    token, stop = re.compile(T.TOKEN, re.ASCII), set(T.STOP_WORDS)
+
+    def one(text: str | None) -> np.ndarray:
+        hashes = np.array([zlib.crc32(t.encode()) for t in token.findall((text or "").lower()) if t not in stop], np.int64)
+        v = np.bincount(hashes % DIMENSIONS, weights=1.0 - 2.0 * ((hashes >> 16) & 1), minlength=DIMENSIONS) if len(hashes) else np.zeros(DIMENSIONS)
+        return v / (np.sqrt((v * v).sum()) or 1.0)
+
+    return texts.map(one)
+
+
+#: What the stand-in says where no search is needed.
+DIRECT_ANSWER = "How can I help with the documents?"

@@ -113,3 +113,82 @@ def render(answers: DataFrame) -> DataFrame:
     shown = F.filter(F.array_sort("refs"), lambda r: F.array_contains(used, r["rank"]))
     line = lambda r: F.concat(F.lit("["), r["rank"].cast("string"), F.lit("] "), r["source"], F.lit(", p. "), r["page"].cast("string"), F.when(r["page_end"] > r["page"], F.concat(F.lit("–"), r["page_end"].cast("string"))).otherwise(""), F.when(F.coalesce(r["section"], F.lit("")) != "", F.concat(F.lit(" — "), r["section"])).otherwise(""))
     return answers.withColumn("rendered", F.concat_ws("\n\n", F.nullif(body, F.lit("")), F.nullif(F.array_join(F.transform(shown, line), "\n"), F.lit(""))))
+
+
+def expand(chunks: DataFrame, max_chars: int = 4000, steps: int | None = None) -> DataFrame:
+    """chunks: unit_id, source, section, ord, page, text. unit_id, big, page, page_end: each chunk grown over its neighbours.
+
+    Growth takes the chunk before, then the one after, once a step, while they lie in the same run of the section and
+    the texts stay within max_chars; steps limits it, None grows over the whole section. A chunk's frame holds no more
+    than what the budget can reach.
+    """
+    by_source = W.partitionBy("source").orderBy("ord")
+    df = chunks.withColumn("size", F.length("text")).withColumn("turns", F.coalesce((~F.col("section").eqNullSafe(F.lag("section").over(by_source))).cast("int"), F.lit(0)))
+    df = df.withColumn("run", F.sum("turns").over(by_source))
+    run = W.partitionBy("source", "run")
+    df = df.withColumn("reach", F.sum("size").over(run.orderBy("ord").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    frame = run.orderBy("reach").rangeBetween(-max_chars, max_chars) if steps is None else run.orderBy("ord").rowsBetween(-steps, steps)
+    near = F.collect_list(F.struct("ord", "size", "page", "text")).over(frame)
+    df = df.withColumn("near", F.array_sort(near))
+    df = df.withColumn("before", F.reverse(F.filter("near", lambda c: c["ord"] < F.col("ord")))).withColumn("after", F.filter("near", lambda c: c["ord"] > F.col("ord")))
+    rounds = F.greatest(F.size("before"), F.size("after"))
+    if steps is not None:
+        rounds = F.least(rounds, F.lit(steps))
+
+    def grow(state: Column, i: Column) -> Column:
+        back = (state["back"] == i) & F.coalesce(state["used"] + F.get("before", i)["size"] <= max_chars, F.lit(False))
+        used = state["used"] + F.when(back, F.get("before", i)["size"]).otherwise(0)
+        on = (state["on"] == i) & F.coalesce(used + F.get("after", i)["size"] <= max_chars, F.lit(False))
+        return F.struct((used + F.when(on, F.get("after", i)["size"]).otherwise(0)).alias("used"), (state["back"] + back.cast("int")).alias("back"), (state["on"] + on.cast("int")).alias("on"))
+
+    start = F.struct(F.col("size").alias("used"), F.lit(0).alias("back"), F.lit(0).alias("on"))
+    df = df.withColumn("grown", F.aggregate(F.when(rounds > 0, F.sequence(F.lit(0), rounds - 1)).otherwise(F.array().cast("array<int>")), start, grow))
+    taken = F.concat(F.reverse(F.slice("before", F.lit(1), F.col("grown.back"))), F.array(F.struct("ord", "size", "page", "text")), F.slice("after", F.lit(1), F.col("grown.on")))
+    df = df.withColumn("taken", taken)
+    pages = F.transform("taken", lambda c: c["page"])
+    return df.select("unit_id", F.array_join(F.transform("taken", lambda c: c["text"]), "\n").alias("big"), F.array_min(pages).alias("page"), F.array_max(pages).alias("page_end"))
+
+
+def merge_spans(hits: DataFrame) -> DataFrame:
+    """hits: qid, unit_id, rank, source, section, at (the chunk's page), text, big, page, page_end. Those not covered by an earlier kept span, ranked anew.
+
+    A span covers a chunk of its source and section whose page it holds and whose text it contains. A question has few
+    hits, so they are folded as one array.
+    """
+    held = F.array_sort(F.collect_list(F.struct("rank", "unit_id", "source", "section", "at", "text", "big", "page", "page_end")))
+    by = hits.groupBy("qid").agg(held.alias("hits"))
+    covers = lambda s, h: s["source"].eqNullSafe(h["source"]) & s["section"].eqNullSafe(h["section"]) & (h["at"] >= s["page"]) & (h["at"] <= s["page_end"]) & F.contains(s["big"], h["text"])
+    kept = F.aggregate("hits", F.slice("hits", 1, 0), lambda acc, h: F.when(F.exists(acc, lambda s: covers(s, h)), acc).otherwise(F.concat(acc, F.array(h))))
+    return by.select("qid", F.posexplode(kept).alias("pos", "h")).select("qid", (F.col("pos") + 1).alias("rank"), "h.unit_id", "h.big", "h.page", "h.page_end")
+
+
+def format_passages(passages: Column) -> Column:
+    """passages: array of rank, source, page, section, text. The numbered passages of a prompt."""
+    section = lambda p: F.when(F.coalesce(p["section"], F.lit("")) != "", F.concat(F.lit(", section: "), p["section"])).otherwise("")
+    one = lambda p: F.concat(F.lit("["), p["rank"].cast("string"), F.lit("] ("), p["source"], F.lit(", page "), p["page"].cast("string"), section(p), F.lit(")\n"), p["text"])
+    return F.array_join(F.transform(passages, one), "\n\n")
+
+
+def feedback(claims: Column, most: int = 5) -> Column:
+    """claims: array of text, supported. The first unsupported ones as bullets."""
+    wrong = F.filter(claims, lambda c: c["supported"].eqNullSafe(F.lit(False)))
+    return F.array_join(F.transform(F.slice(wrong, 1, most), lambda c: F.concat(F.lit("- "), c["text"])), "\n")
+
+
+def coverage(rows: DataFrame, scorer, threshold: float = 0.05) -> DataFrame:
+    """rows: id, reference, claims (array of texts). The share of the reference's sentences that all claims together support; 0 without any."""
+    parts = rows.select("id", F.array_join("claims", " ").alias("told"), F.explode_outer(T.reference_sentences(F.col("reference"))).alias("sentence"))
+    good = F.when(F.col("sentence").isNotNull(), (scorer(F.col("sentence"), F.col("told")) >= threshold).cast("double"))
+    return parts.groupBy("id").agg(F.coalesce(F.avg(good), F.lit(0.0)).alias("coverage"))
+
+
+def counterfactual_hits(hits: DataFrame, gold: DataFrame, top: int) -> DataFrame:
+    """hits: qid, page, rank; gold: qid, page. The first `top` hits off the gold pages, ranked anew."""
+    left = hits.join(gold.select("qid", "page").distinct(), ["qid", "page"], "left_anti")
+    ranked = left.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("rank", "page")))
+    return ranked.where(F.col("rank") <= top)
+
+
+def asked_in(prompt: Column) -> Column:
+    """What follows the last "Question:" of a prompt."""
+    return F.trim(F.substring_index(prompt, "Question:", -1))

@@ -10,6 +10,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Slices of a unit of score, and rounds of a block, over which running sums go before they go within.
+SLICES, BLOCK_ROUNDS = 1000, 1000
+
+
 def retrieval_metrics(hits: DataFrame, gold: DataFrame, questions: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
     """hits: qid, page, rank; gold: qid, page. One row a question: recall@k, all@k, mrr, ndcg@10."""
     firsts = hits.groupBy("qid", "page").agg(F.min("rank").alias("rank"))  # a page counts once, at its best rank
@@ -32,14 +36,20 @@ def summary(rows: DataFrame, by: str, measures: list[str], subsets: dict[str, Co
 def youden_threshold(scored: DataFrame) -> DataFrame:
     """(score, positive): the threshold with the largest true- minus false-positive rate; the smallest of equals.
 
-    Candidates are 0 and every score. Counts by distinct score are pre-aggregated before the running sums.
+    Candidates are 0 and every score. Counts by distinct score are pre-aggregated; running sums go over slices of the
+    scores first and within a slice after, so no task sorts all scores.
     """
     by = scored.groupBy("score").agg(F.sum(F.col("positive").cast("int")).alias("p"), F.sum(1 - F.col("positive").cast("int")).alias("n"))
     zero = scored.sparkSession.range(1).select(F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("n"))
     by = by.unionByName(zero).groupBy("score").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    up = W.orderBy(F.col("score").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    by = by.withColumn("slice", F.floor(F.col("score") * SLICES))
+    up = W.partitionBy("slice").orderBy(F.col("score").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    above = W.orderBy(F.col("slice").desc()).rowsBetween(W.unboundedPreceding, -1)
+    zeros = lambda c: F.coalesce(F.sum(c).over(above), F.lit(0))
+    slices = by.groupBy("slice").agg(F.sum("p").alias("sp"), F.sum("n").alias("sn")).select("slice", zeros("sp").alias("bp"), zeros("sn").alias("bn"))
     total = by.agg(F.sum("p").alias("tp"), F.sum("n").alias("tn"))
-    run = by.select("score", F.sum("p").over(up).alias("cp"), F.sum("n").over(up).alias("cn")).crossJoin(F.broadcast(total))
+    run = by.select("slice", "score", F.sum("p").over(up).alias("cp"), F.sum("n").over(up).alias("cn")).join(slices, "slice")
+    run = run.select("score", (F.col("cp") + F.col("bp")).alias("cp"), (F.col("cn") + F.col("bn")).alias("cn")).crossJoin(F.broadcast(total))
     j = F.col("cp") / F.greatest("tp", F.lit(1)) - F.col("cn") / F.greatest("tn", F.lit(1))
     return run.select(F.col("score").alias("threshold"), j.alias("j")).orderBy(F.round("j", 9).desc(), "threshold").limit(1)
 
@@ -66,8 +76,12 @@ def round_robin(items: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """(source, id): whole rounds over the sources, each in hash order, until 2n are taken."""
     ranked = items.withColumn("round", F.row_number().over(W.partitionBy("source").orderBy(F.xxhash64("id", F.lit(seed)), "id")))
     sizes = ranked.groupBy("round").agg(F.count("*").alias("c"))
-    before = sizes.select("round", F.coalesce(F.sum("c").over(W.orderBy("round").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return ranked.join(F.broadcast(before), "round").where(F.col("before") < 2 * n).drop("before")
+    sizes = sizes.withColumn("block", F.floor(F.col("round") / BLOCK_ROUNDS))
+    earlier = lambda w: F.coalesce(F.sum("c").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = sizes.groupBy("block").agg(F.sum("c").alias("c")).select("block", earlier(W.orderBy("block")).alias("base"))
+    before = sizes.select("round", "block", earlier(W.partitionBy("block").orderBy("round")).alias("within")).join(blocks, "block")
+    kept = before.where(F.col("base") + F.col("within") < 2 * n).select("round")
+    return ranked.join(kept, "round")
 
 
 def similar_pairs(vectors: DataFrame, low: float, high: float, queries: DataFrame) -> DataFrame:
@@ -77,3 +91,32 @@ def similar_pairs(vectors: DataFrame, low: float, high: float, queries: DataFram
     near = dense(queries, vectors, 40).where((F.col("score") >= low) & (F.col("score") <= high))
     best = F.row_number().over(W.partitionBy("qid").orderBy(F.round("score", 9).desc(), "unit_id"))
     return near.withColumn("b", best).where("b = 1").select("qid", "unit_id", "score")
+
+
+def score_spread(scored: DataFrame, by: str) -> DataFrame:
+    """Least, median and largest score of each kind; the median is the element at half the count, from 0."""
+    at = W.partitionBy(by).orderBy("score")
+    ranked = scored.select(by, "score", F.row_number().over(at).alias("r"), F.count("*").over(W.partitionBy(by)).alias("n"))
+    middle = F.max(F.when(F.col("r") == F.floor(F.col("n") / 2) + 1, F.col("score")))
+    return ranked.groupBy(by).agg(F.min("score").alias("least"), middle.alias("median"), F.max("score").alias("largest"))
+
+
+def refusal_rates(rows: DataFrame, by: str) -> DataFrame:
+    """rows: answerable, insufficient, action. Shares of wrong refusals among answerable and of refusals among other items."""
+    refused = F.col("insufficient") | (F.col("action") == "ANSWER_DIRECTLY")
+    return rows.groupBy(by).agg(
+        F.avg(F.when(F.col("answerable"), F.col("insufficient").cast("double"))).alias("false_refusal"),
+        F.avg(F.when(~F.col("answerable"), refused.cast("double"))).alias("unanswerable_refusal"),
+    )
+
+
+def verdict_score(verdict: Column) -> Column:
+    """A judge's verdict as 1, 0.5 or 0; null for any other word."""
+    word = F.lower(F.trim(verdict))
+    return F.when(word == "correct", 1.0).when(word == "partially", 0.5).when(word == "incorrect", 0.0)
+
+
+def usable_questions(rows: DataFrame) -> DataFrame:
+    """rows: usable, needs_both (null for single questions), question. Those long enough, and that need both passages."""
+    several = F.col("needs_both").isNotNull()
+    return rows.where(F.col("usable") & F.when(several, F.col("needs_both") & (F.length("question") >= 20)).otherwise(F.length("question") >= 15))

@@ -55,13 +55,22 @@ def sparse_dot(query_weights: DataFrame, unit_weights: DataFrame, k: int = 20) -
     return top_k(hits.groupBy("qid", "unit_id").agg(F.sum(F.col("wq") * F.col("w")).alias("score")), k, ["qid"])
 
 
+def term_weights(units: DataFrame) -> DataFrame:
+    """unit_id, term, w: a deterministic stand-in for a learned sparse encoder, ln(1 + tf)."""
+    return postings(units).select("unit_id", "term", F.log1p(F.col("tf").cast("double")).alias("w"))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
 
 
-def dense(queries: DataFrame, vectors: DataFrame, k: int = 20) -> DataFrame:
-    """Exact cosine of a stated set of query vectors (qid, vec) against all vectors (unit_id, vec); unit vectors assumed."""
-    pairs = queries.select("qid", F.col("vec").alias("qvec")).join(vectors, F.col("qid") != F.col("unit_id"))
+def dense(queries: DataFrame, vectors: DataFrame, k: int = 20, same_ids: bool = True) -> DataFrame:
+    """Exact cosine of a stated set of query vectors (qid, vec) against all vectors (unit_id, vec); unit vectors assumed.
+
+    Where queries are units themselves (same_ids), none finds itself.
+    """
+    asked = queries.select("qid", F.col("vec").alias("qvec"))
+    pairs = asked.join(vectors, F.col("qid") != F.col("unit_id")) if same_ids else asked.crossJoin(vectors)
     return top_k(pairs.select("qid", "unit_id", dot(F.col("qvec"), F.col("vec")).alias("score")), k, ["qid"])
 
 

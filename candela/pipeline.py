@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candela import models
 from candela.config import Config
 from candela.operators import answers, chunking, retrieval
+from candela.session import durable
 
 
 def ingest(blocks: DataFrame, config: Config) -> DataFrame:
@@ -17,54 +18,167 @@ def ingest(blocks: DataFrame, config: Config) -> DataFrame:
     return chunking.make_children(chunks, config.ingest.child_size, config.ingest.child_overlap) if config.ingest.child_size else chunks
 
 
+def fused(asked: DataFrame, units: DataFrame, config: Config) -> DataFrame:
+    """asked: qid, text, weight, several rows a question. qid, unit_id, score, rank by the reciprocal ranks of all searches."""
+    r = config.retrieval
+    keyed = asked.select(F.struct("qid", "text", "weight").alias("qid"), "text")
+    found = []
+    if r.mode in ("dense", "hybrid"):
+        vectors = units.select("unit_id", models.embed("text").alias("vec"))
+        found.append(retrieval.dense(keyed.select("qid", models.embed("text").alias("vec")), vectors, r.fetch_k, same_ids=False))
+    if r.mode in ("sparse", "hybrid") and r.sparse == "bm25":
+        found.append(retrieval.bm25(keyed, units, r.fetch_k, r.k1, r.b))
+    elif r.mode in ("sparse", "hybrid"):
+        weights = retrieval.query_terms(keyed).withColumn("w", F.lit(1.0))
+        found.append(retrieval.sparse_dot(weights, retrieval.term_weights(units), r.fetch_k))
+    ranked = [f.select("qid.qid", "qid.weight", "unit_id", "rank") for f in found]
+    both = ranked[0] if len(ranked) == 1 else ranked[0].unionByName(ranked[1])
+    return retrieval.reciprocal_ranks(both, r.rrf_k)
+
+
 def candidates(questions: DataFrame, units: DataFrame, config: Config) -> DataFrame:
     """Rankings of each question (weight 2) and its parts (weight 1), fused by reciprocal ranks."""
-    r = config.retrieval
     asked = questions.select("qid", "text", F.lit(2.0).alias("weight"))
     if config.agent.decompose:
         parts = questions.select("qid", F.explode(models.split_question(F.col("text"), config.agent.max_subqueries)).alias("part"), "text")
         asked = asked.unionByName(parts.where("lower(trim(part)) <> lower(trim(text))").select("qid", F.col("part").alias("text"), F.lit(1.0).alias("weight")))
-    keyed = asked.select(F.struct("qid", "text", "weight").alias("qid"), "text")
-    ranked = retrieval.bm25(keyed, units, r.fetch_k, r.k1, r.b).select("qid.qid", "qid.weight", "unit_id", "rank")
-    return retrieval.reciprocal_ranks(ranked, r.rrf_k)
+    return fused(asked, units, config)
+
+
+def _reranked(found: DataFrame, questions: DataFrame, units: DataFrame, config: Config, most: int | None = None) -> DataFrame:
+    """qid, unit_id, score, rank, question, text of found (qid, unit_id, score, rank), by the reranker where there is one."""
+    r = config.retrieval
+    texts = found.join(units.select("unit_id", "text"), "unit_id").join(questions.select("qid", F.col("text").alias("question")), "qid")
+    if r.reranker is None:
+        return texts.where(F.col("rank") <= (most or r.top_k)).select("qid", "unit_id", "score", "rank", "question", "text")
+    top = retrieval.rerank(texts, models.SCORERS[r.reranker], most or r.top_k, most or r.rerank_k)
+    return top.select("qid", "unit_id", "score", "rank", "question", "text")
+
+
+def _gathered(hits: DataFrame) -> DataFrame:
+    """qid, question, texts: a question's hits as an array in rank order; there are top_k of them at most."""
+    return hits.groupBy("qid", "question").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("texts"))
+
+
+def corrected(hits: DataFrame, questions: DataFrame, units: DataFrame, config: Config) -> DataFrame:
+    """Questions whose best score is below crag_threshold are searched again, with a rewrite beside them; old hits are reranked with the new."""
+    rerank_k = config.retrieval.rerank_k
+    for _ in range(config.agent.crag_retries):
+        weak = durable(retrieval.weak_questions(hits, config.agent.crag_threshold).select("qid"))
+        mine = hits.join(weak, "qid", "left_semi")
+        again = questions.join(weak, "qid", "left_semi")
+        rewrites = _gathered(mine).select("qid", models.rewritten(F.col("question"), F.col("texts")).alias("text"), F.lit(1.0).alias("weight"))
+        asked = again.select("qid", "text", F.lit(2.0).alias("weight")).unionByName(rewrites)
+        found = durable(fused(asked, units, config).where(F.col("rank") <= rerank_k))
+        extra = retrieval.unseen(mine, found).select("qid", "unit_id", F.lit(0.0).alias("score"), F.lit(rerank_k).alias("rank"))
+        better = _reranked(found.unionByName(extra), again, units, config)
+        hits = durable(hits.join(weak, "qid", "left_anti").unionByName(better))
+    return hits
+
+
+def iterated(hits: DataFrame, questions: DataFrame, units: DataFrame, config: Config) -> DataFrame:
+    """Follow-up searches for what the passages lack; the best new hit of each hop is pinned behind the best of the rest.
+
+    A question leaves the loop when nothing is missing, a follow-up repeats or finds nothing new.
+    """
+    top = config.retrieval.top_k
+    hits = hits.withColumn("pinned", F.lit(0))
+    said = None
+    live = questions.select("qid")
+    for hop in range(1, config.agent.max_hops + 1):
+        wanted = _gathered(hits.join(live, "qid", "left_semi")).select("qid", models.missing_tokens(F.col("question"), F.col("texts")).alias("text")).where("text is not null")
+        if said is not None:
+            wanted = wanted.join(said, ["qid", "text"], "left_anti")
+        wanted = durable(wanted)
+        said = wanted if said is None else said.unionByName(wanted)
+        more = _reranked(candidates(wanted, units, config).where(F.col("rank") <= config.retrieval.rerank_k), wanted, units, config)
+        new = retrieval.top_k(retrieval.unseen(more, hits).drop("rank"), 1, ["qid"])
+        new = durable(new.select("qid", "unit_id", F.lit(hop).alias("pinned")))
+        live = new.select("qid")
+        old = hits.join(live, "qid", "left_semi")
+        # All hits are scored against the question again; the pool is old hits, pins and the new pin.
+        pool = old.select("qid", "unit_id", "pinned").unionByName(new).select("qid", "unit_id", "pinned", F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
+        scored = _reranked(pool.drop("pinned"), questions, units, config, top + 1).join(pool.select("qid", "unit_id", "pinned"), ["qid", "unit_id"])
+        pins = scored.groupBy("qid").agg(F.sum((F.col("pinned") > 0).cast("int")).alias("pins"))
+        rest = retrieval.top_k(scored.where("pinned = 0").drop("rank"), top, ["qid"]).join(pins, "qid").where(F.col("rank") <= top - F.col("pins")).drop("pins")
+        fixed = scored.where("pinned > 0").withColumn("rank", F.lit(top) + F.col("pinned"))
+        both = rest.unionByName(fixed)
+        place = F.row_number().over(retrieval.W.partitionBy("qid").orderBy("rank"))
+        hits = durable(hits.join(live, "qid", "left_anti").unionByName(both.withColumn("rank", place)))
+    return hits.drop("pinned")
 
 
 def retrieve(questions: DataFrame, units: DataFrame, config: Config) -> DataFrame:
-    """qid, unit_id, score, rank: the top_k after reranking against the whole question."""
+    """qid, unit_id, score, rank, question, text: the top_k after reranking against the whole question, corrected and iterated as set."""
     found = candidates(questions, units, config).where(F.col("rank") <= config.retrieval.rerank_k)
-    texts = found.join(units.select("unit_id", "text"), "unit_id").join(questions.withColumnRenamed("text", "question"), "qid")
-    if config.retrieval.reranker is None:
-        return texts.where(F.col("rank") <= config.retrieval.top_k).select("qid", "unit_id", "score", "rank", "question", "text")
-    top = retrieval.rerank(texts, models.SCORERS[config.retrieval.reranker], config.retrieval.top_k, config.retrieval.rerank_k)
-    return top.select("qid", "unit_id", "score", "rank", "question", "text")
+    hits = _reranked(found, questions, units, config)
+    crag = config.agent.crag and config.retrieval.reranker
+    if crag or config.agent.retrieval_strategy == "iterative":
+        hits = durable(hits)
+    if crag:
+        hits = corrected(hits, questions, units, config)
+    if config.agent.retrieval_strategy == "iterative":
+        hits = iterated(hits, questions, units, config)
+    return hits
+
+
+def _expanded(hits: DataFrame, units: DataFrame, config: Config) -> DataFrame:
+    """Each hit as its window or section; hits within an earlier span go. units needs source, section, ord and page."""
+    a = config.agent
+    spans = answers.expand(units, a.context_chars, a.context_window if a.context == "window" else None)
+    where = units.select("unit_id", "source", "section", F.col("page").alias("at"))
+    merged = answers.merge_spans(hits.join(where, "unit_id").join(spans, "unit_id"))
+    return hits.drop("text", "rank").join(merged.select("qid", "unit_id", "rank", F.col("big").alias("text")), ["qid", "unit_id"])
+
+
+def _claims(passages: DataFrame, generator, sources: DataFrame, config: Config) -> DataFrame:
+    """qid, pos, text, citations, supported: the claims of a generator's answers, checked against the uncompressed sources."""
+    said = passages.withColumn("claims", answers.parse_claims(generator(F.col("question"), F.col("passages")), F.size("passages")))
+    claims = said.select("qid", F.posexplode("claims").alias("pos", "c")).select(F.struct("qid", "pos").alias("cid"), "qid", "pos", "c.text", "c.citations")
+    if not (config.agent.verifier and config.retrieval.reranker):
+        return claims.withColumn("supported", F.lit(None).cast("boolean")).drop("cid")
+    checked = answers.verify(claims.select("cid", "qid", "text", "citations"), sources.select("qid", "rank", "text"), models.SCORERS["containment"], config.agent.support_threshold)
+    return claims.join(checked, "cid").select("qid", "pos", "text", "citations", "supported")
+
+
+def _told(claims: DataFrame) -> DataFrame:
+    """qid, kept (claims that are not known to be unsupported), n_claims, n_good."""
+    kept: Column = F.filter(F.array_sort(F.collect_list(F.struct("pos", "text", "citations", "supported"))), lambda c: ~c["supported"].eqNullSafe(F.lit(False)))
+    good = F.sum(F.coalesce(F.col("supported").cast("int"), F.lit(0)))
+    return claims.groupBy("qid").agg(kept.alias("kept"), F.count("*").alias("n_claims"), good.alias("n_good"), F.coalesce(F.avg(F.col("supported").cast("int")), F.lit(1.0)).alias("support"))
 
 
 def answer(questions: DataFrame, units: DataFrame, config: Config) -> DataFrame:
     """qid, action, text, n_claims, n_supported, refused for each question."""
-    hits = retrieve(questions, units, config)
-    gated = hits
-    if config.agent.min_relevance > 0 and config.retrieval.reranker:
-        gated = hits.join(retrieval.weak_questions(hits, config.agent.min_relevance).select("qid"), "qid", "left_anti")
-    shown = gated
-    if config.agent.compression != "none":
-        short = answers.compress(gated, retrieval.overlap_scorer, config.agent.compress_sentences)
-        shown = gated.drop("text").join(short, ["qid", "unit_id"])
+    a = config.agent
+    action = models.route(F.col("text")) if a.route else F.lit("SEARCH")
+    routed = questions.withColumn("action", action)
+    searched = routed.where("action = 'SEARCH'").select("qid", "text")
+    hits = retrieve(searched, units, config)
+    if a.min_relevance > 0 and config.retrieval.reranker:
+        hits = hits.join(retrieval.weak_questions(hits, a.min_relevance).select("qid"), "qid", "left_anti")
+    if a.context != "chunk":
+        hits = _expanded(hits, units, config)
+    hits = durable(hits)  # read by the generator, the verifier and the correction; bounded by top_k a question
+    shown = hits
+    if a.compression != "none":
+        short = answers.compress(hits, retrieval.overlap_scorer, a.compress_sentences)
+        shown = hits.drop("text").join(short, ["qid", "unit_id"])
     passages = shown.groupBy("qid", "question").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("passages"))
-    said = passages.withColumn("completion", models.extractive_answer(F.col("question"), F.col("passages")))
-    said = said.withColumn("claims", answers.parse_claims(F.col("completion"), F.lit(config.retrieval.top_k)))
-    claims = said.select("qid", F.posexplode("claims").alias("pos", "c")).select(F.struct("qid", "pos").alias("cid"), "qid", "pos", "c.text", "c.citations")
-    if config.agent.verifier and config.retrieval.reranker:
-        checked = answers.verify(claims.select("cid", "qid", "text", "citations"), gated.select("qid", "rank", "text"), models.SCORERS["containment"], config.agent.support_threshold)
-        claims = claims.join(checked, "cid")
-    else:
-        claims = claims.withColumn("supported", F.lit(None).cast("boolean"))
-    kept = F.filter(F.array_sort(F.collect_list(F.struct("pos", "text", "citations", "supported"))), lambda c: ~c["supported"].eqNullSafe(F.lit(False)))
-    told = claims.groupBy("qid").agg(kept.alias("kept"), F.count("*").alias("n_claims"))
+    told = _told(_claims(passages, models.extractive_answer, hits, config))
+    if a.self_correct:
+        told = durable(told)
+        weak = told.where(F.col("support") < a.self_correct_below).select("qid", F.col("n_good").alias("before"))
+        retry = _told(_claims(passages.join(weak, "qid", "left_semi"), models.corrected_answer, hits, config))
+        better = durable(retry.join(weak, "qid").where(F.col("n_good") > F.col("before")).drop("before"))
+        told = told.join(better, "qid", "left_anti").unionByName(better)
     cited = F.transform("kept", lambda c: F.concat(c["text"], F.array_join(F.transform(c["citations"], lambda i: F.concat(F.lit(" ["), i.cast("string"), F.lit("]"))), "")))
-    refused = F.coalesce(F.size("kept"), F.lit(0)) <= 0
-    return questions.select("qid").join(told, "qid", "left").select(
-        "qid", F.when(refused, F.lit(answers.REFUSAL_TEXT)).otherwise(F.array_join(cited, " ")).alias("text"),
-        F.coalesce("n_claims", F.lit(0)).alias("n_claims"), F.greatest(F.coalesce(F.size("kept"), F.lit(0)), F.lit(0)).alias("n_supported"), refused.alias("refused"),
+    n_kept = F.greatest(F.coalesce(F.size("kept"), F.lit(0)), F.lit(0))
+    direct = F.col("action") == "ANSWER_DIRECTLY"
+    refused = ~direct & (n_kept == 0)
+    text = F.when(direct, F.lit(models.DIRECT_ANSWER)).when(refused, F.lit(answers.REFUSAL_TEXT)).otherwise(F.array_join(cited, " "))
+    return routed.select("qid", "action").join(told, "qid", "left").select(
+        "qid", "action", text.alias("text"), F.coalesce("n_claims", F.lit(0)).alias("n_claims"), n_kept.alias("n_supported"), refused.alias("refused"),
     )
 
 

@@ -1 +1,6 @@
+"""Registered queries."""
 
+from candela.plans import registry
+from candela.plans import agent_queries  # registers more
+
+__all__ = ["agent_queries", "registry"]

@@ -165,7 +165,7 @@ def hybrid_candidates(spark, d):
 
 
 def _reranked(spark, d):
-    cands = _fused(spark, d).where("rank <= 20").join(tables.units(spark, d).select("unit_id", "text"), "unit_id").join(F.broadcast(tables.questions(spark, d).withColumnRenamed("text", "question")), "qid")
+    cands = _fused(spark, d).where("rank <= 20").join(tables.units(spark, d).select("unit_id", "text"), "unit_id").join(tables.questions(spark, d).withColumnRenamed("text", "question"), "qid")
     return retrieval.rerank(cands, retrieval.overlap_scorer).select("qid", "unit_id", "score", "rank")
 
 
@@ -278,7 +278,7 @@ def context_excerpt(spark, d):
     c AS (SELECT qid, unit_id, string_agg(CASE WHEN pos <> l + 1 THEN '… ' ELSE '' END || sentence, ' ' ORDER BY pos) AS short FROM o GROUP BY ALL)
     SELECT qid, unit_id, sha256(CASE WHEN len(s) <= 4 THEN text ELSE short END) AS sha FROM s LEFT JOIN c USING (qid, unit_id)""")
 def compress_sentences(spark, d):
-    hits = _reranked(spark, d).join(tables.units(spark, d).select("unit_id", "text"), "unit_id").join(F.broadcast(tables.questions(spark, d).withColumnRenamed("text", "question")), "qid")
+    hits = _reranked(spark, d).join(tables.units(spark, d).select("unit_id", "text"), "unit_id").join(tables.questions(spark, d).withColumnRenamed("text", "question"), "qid")
     return answers.compress(hits, retrieval.overlap_scorer).select("qid", "unit_id", F.sha2("text", 256).alias("sha"))
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str | None = None, app: str = "candela", **conf: str) -> SparkSession:
@@ -26,3 +27,11 @@ def local_session(cpus: int | str | None = None, app: str = "candela", **conf: s
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a checkpoint in the folder of spark.checkpoint.dir; one of our own only where none is set, as in tests."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("candela"))
+    return df.checkpoint(eager=True)
