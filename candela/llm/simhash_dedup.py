@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from candela.llm.common import bounded, durable, fresh, hot_join, text_or_empty
 from candela.llm.components import components
+from candela.llm.similar_texts import similar_links
 
 LOW = 0x5555555555555555
 #: log2 of one over the chance that two random 2-bit segments have equal counts.
@@ -185,9 +186,17 @@ def hex_of(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 4) -> DataFrame:
-    """The rows of docs without those whose component has a smaller doc_id, with all their columns."""
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 4, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs without those whose component has a smaller doc_id, with all their columns.
+
+    Candidates are the links of the fingerprints and, as these reach only very close copies, those of similar_texts.
+    Texts are linked if the shingle sets of a candidate have the similarity, verified exactly. A doc_id that rows of
+    different texts share always stays, and so do rows without doc_id. Texts without words are alike.
+    """
     key = fresh(docs, "k_doc")
     groups = near_groups(docs, id_col, text_col, shingle, distance)
-    gone = durable(groups.where("doc_id is not null").groupBy(F.col("doc_id").alias(key)).agg(F.min(F.col("doc_id") != F.col("component_id")).alias("away")).where("away").select(key))
+    close = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    similar, shared = similar_links(docs, similarity, id_col, text_col, shingle, more=close)
+    moved = components(similar).select(F.col("node").alias("doc_id"))
+    gone = durable(moved.join(shared, "doc_id", "left_anti").select(F.col("doc_id").alias(key)))
     return docs.join(bounded(gone, gone.count()), docs[id_col] == F.col(key), "left_anti")

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from candela.llm import best_fit_packing, chat_format, common, components, exact_dedup, fm_index, license_scan, quality_classifier, quality_rules, simhash_dedup, source_mixing, substring_dedup, url_filters
+from candela.llm import best_fit_packing, chat_format, common, components, exact_dedup, fm_index, license_scan, quality_classifier, quality_rules, similar_texts, simhash_dedup, source_mixing, substring_dedup, url_filters
 
 WS = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -166,6 +166,38 @@ def test_near_groups(tricky, rows_of, empty):
     assert simhash_dedup.near_groups(empty).count() == 0 and simhash_dedup.drop_near_copies(empty).columns == empty.columns
 
 
+@pytest.mark.parametrize("hot", [512, 8])
+def test_drop_near_copies(spark, monkeypatch, hot):
+    monkeypatch.setattr(similar_texts, "HOT", hot)
+    rng = np.random.default_rng(3)
+    docs = []
+    for group in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        for _ in range(40 if group == 0 else 5):
+            edited = list(base)
+            for at in rng.choice(200, rng.integers(0, 12), replace=False):
+                edited[at] = f"n{rng.integers(0, 1 << 30)}"
+            docs.append((len(docs), " ".join(edited)))
+    sets = [similar_texts.shingles_of(t.encode(), 5) for _, t in docs]
+    label = list(range(len(docs)))
+    for a in label[:]:
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    got = {r["doc_id"] for r in simhash_dedup.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert set(label) <= got  # nothing goes without a link
+    assert len(got - set(label)) <= 0.05 * (len(docs) - len(set(label)))  # many pairs here lie right at the similarity
+
+
+def test_drop_near_copies_of_odd_rows(tricky, rows_of, empty):
+    got = Counter((r["doc_id"], r["text"]) for r in simhash_dedup.drop_near_copies(tricky).collect())
+    gone = Counter(rows_of) - got
+    # Copies of 3; those of the empty 1; of the passages 10 with other ends; of the long 13.
+    assert {i for i, _ in gone} == {5, 9, 2, 4, 11, 12, 14} and not got - Counter(rows_of)
+    assert simhash_dedup.drop_near_copies(empty).count() == 0
+
+
 @pytest.mark.parametrize("bands", [5, 6, 7])
 def test_fingerprint_links_miss_no_link(spark, bands):
     rng = np.random.default_rng(bands)
