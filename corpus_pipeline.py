@@ -23,8 +23,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each linked group the document with the smallest doc_id stays; links are op5's."""
-    return simhash_dedup.drop_near_copies(docs, shingle=4, distance=4)
+    """Of each group linked by fingerprints or by a similarity of 0.8 of five-word shingles, the smallest doc_id stays."""
+    return simhash_dedup.drop_near_copies(docs, shingle=5, distance=4, similarity=0.8)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
