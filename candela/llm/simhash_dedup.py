@@ -186,6 +186,18 @@ def hex_of(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
+def near_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 4) -> DataFrame:
+    """Links a, b of doc_ids that span the groups of near fingerprints: a fingerprint's rows link to its smallest doc_id."""
+    prints = durable(fingerprints(docs, id_col, text_col, shingle).where("doc_id is not null"))
+    nodes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    n = nodes.count()
+    equal = hot_join(prints, nodes, ["fp"], n, F.col("doc_id")).where("doc_id <> low").select(F.col("doc_id").alias("a"), F.col("low").alias("b"))
+    links = fingerprint_links(nodes.select("fp"), n, distance).distinct()
+    left = hot_join(links, nodes.select(F.col("fp").alias("a"), F.col("low").alias("low_a")), ["a"], n, F.col("b"))
+    both = hot_join(left, nodes.select(F.col("fp").alias("b"), F.col("low").alias("low_b")), ["b"], n, F.col("a"))
+    return equal.union(both.where("low_a <> low_b").select(F.greatest("low_a", "low_b"), F.least("low_a", "low_b")))
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 4, similarity: float = 0.8) -> DataFrame:
     """The rows of docs without those whose component has a smaller doc_id, with all their columns.
 
@@ -194,9 +206,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     different texts share always stays, and so do rows without doc_id. Texts without words are alike.
     """
     key = fresh(docs, "k_doc")
-    groups = near_groups(docs, id_col, text_col, shingle, distance)
-    close = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    similar, shared = similar_links(docs, similarity, id_col, text_col, shingle, more=close)
+    similar, shared = similar_links(docs, similarity, id_col, text_col, shingle, more=near_candidates(docs, id_col, text_col, shingle, distance))
     moved = components(similar).select(F.col("node").alias("doc_id"))
     gone = durable(moved.join(shared, "doc_id", "left_anti").select(F.col("doc_id").alias(key)))
     return docs.join(bounded(gone, gone.count()), docs[id_col] == F.col(key), "left_anti")
