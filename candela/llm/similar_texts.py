@@ -7,7 +7,12 @@ The rows of a band's cell are spanned by a maximum forest of agreeing sketches:
 pairs, and between any two rows the surest path. Cells of over HOT rows are dealt to parts; the leaders of the parts
 (rows whose sketch agrees with no earlier leader's in a share MARGIN above the similarity) then meet in the cell, where
 each links to the leader most like it. Each link is verified on the whole texts, so no pair below the similarity is
-linked; a group that hangs together by pairs right at the similarity may stay in two.
+linked.
+
+That is the first round. Cells of over HOT rows whose rows are then not of one component meet again: rows outside the
+cell's main component are sent to all its parts, and pairs of different components whose sketches agree are verified,
+each row's best first, until none is left. The number of pairs is that of true links and failed checks: in a large group
+that lies just below the similarity it grows with the square of the group.
 
 Cases: null, empty and blank texts have no shingles and no links; texts of fewer words than a shingle are one shingle.
 Rows without doc_id are left out. Rows that share a doc_id link if any of their texts do. Empty tables give no links.
@@ -24,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candela.llm.common import durable, hot_join, text_or_empty
+from candela.llm.components import components
 from candela.llm.substring_dedup import gram_hashes
 
 BANDS, BAND_ROWS = 21, 6
@@ -35,6 +41,8 @@ HOT = 512
 SALTS = 16
 #: How far the share of agreeing sketch bytes may lie off the similarity: 2.8 standard deviations at 0.8.
 MARGIN = 0.1
+#: Candidates of a row in each part in the rounds after the first; the last round takes all.
+RETRIES = (8, 64, None)
 CHUNK = 2048
 
 _RNG = np.random.default_rng(23)
@@ -224,6 +232,66 @@ def verified(links: DataFrame, docs: DataFrame, similarity: float, id_col: str,
     return placed.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _open_rows(made: DataFrame, found: DataFrame) -> DataFrame:
+    """cell, doc_id, sketch, label, size and main of the rows of cells whose rows are not all of one component.
+
+    label names a row's component over the links found so far; size counts the cell's rows; main is its largest label.
+    """
+    labels = components(found)
+    n = labels.count()
+    named = hot_join(made, labels.withColumnRenamed("node", "doc_id"), ["doc_id"], n, F.col("doc_id"), "left")
+    rows = named.select(F.explode("cells").alias("cell"), "doc_id", "sketch", F.coalesce("label", "doc_id").alias("label"))
+    cells = durable(rows.groupBy("cell").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where((F.col("low") != F.col("high")) & (F.col("size") > HOT)).select("cell", "size"))
+    n_cells = cells.count()
+    left = durable(hot_join(rows, cells, ["cell"], n_cells, F.col("doc_id")))
+    largest = left.groupBy("cell", "label").count().groupBy("cell").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+    return hot_join(left, largest, ["cell"], n_cells, F.col("doc_id"))
+
+
+def _open_links(rows: DataFrame, similarity: float, limit: int | None) -> DataFrame:
+    """rows: _open_rows(). Pairs a, b of a cell and of different labels whose sketches are alike: of each row its best `limit` in a part.
+
+    more: whether the row has further ones. A cell's parts are met by every row that is not of its main label, so that
+    each pair of different labels meets in some part.
+    """
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    link = int((similarity - MARGIN) * MINIMA)
+    parts = F.ceil(F.col("size") / HOT).cast("int")
+    resident = rows.select("cell", F.pmod(F.xxhash64("doc_id"), parts).cast("int").alias("part"), F.lit(0).alias("visits"), "doc_id", "sketch", "label")
+    visitors = rows.where("label <> main").select("cell", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(1).alias("visits"), "doc_id", "sketch", "label")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, labels, sketched = None, [], [], []
+        for batch in batches:
+            a, b, more = [], [], []
+            id_type = batch.column(3).type
+            raw = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(batch.num_rows, MINIMA)
+            for i, (c, p, visits, doc, label) in enumerate(zip(*[batch.column(k).to_pylist() for k in (0, 1, 2, 3, 5)], strict=True)):
+                if (c, p) != key:
+                    key, ids, labels, sketched = (c, p), [], [], []
+                if not visits:
+                    ids.append(doc)
+                    labels.append(label)
+                    sketched.append(raw[i])
+                    continue
+                if isinstance(sketched, list):
+                    if not sketched:
+                        continue
+                    sketched = np.stack(sketched)
+                same = np.count_nonzero(sketched == raw[i], axis=1)
+                best = [k for k in np.flatnonzero(same >= link).tolist() if labels[k] != label]
+                best.sort(key=lambda k: -same[k])
+                for k in best[:limit]:
+                    a.append(max(doc, ids[k]))
+                    b.append(min(doc, ids[k]))
+                    more.append(limit is not None and len(best) > limit)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, id_type), pa.array(b, id_type), pa.array(more)], names=["a", "b", "more"])
+
+    dealt = resident.union(visitors).repartition("cell", "part").sortWithinPartitions("cell", "part", "visits", "doc_id")
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}, more boolean")
+
+
 def similar_links(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, more: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Links a, b that span the groups of similar texts, and the doc_ids that rows with different sketches share.
 
@@ -232,5 +300,14 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_i
     made = durable(sketches(docs, id_col, text_col, shingle))
     shared = made.groupBy("doc_id").agg((F.min("sketch") != F.max("sketch")).alias("differ")).where("differ").select("doc_id")
     links = candidates(made, similarity)
-    links = durable(links if more is None else links.union(more).distinct())
-    return durable(verified(links, docs, similarity, id_col, text_col, shingle)), shared
+    tested = durable(links if more is None else links.union(more).distinct())
+    found = durable(verified(tested, docs, similarity, id_col, text_col, shingle))
+    for limit in RETRIES:
+        met = durable(_open_links(_open_rows(made, found), similarity, limit).groupBy("a", "b").agg(F.max("more").alias("more")))
+        new = durable(met.select("a", "b").join(tested, ["a", "b"], "left_anti"))
+        if new.count():
+            found = durable(found.union(verified(new, docs, similarity, id_col, text_col, shingle)))
+            tested = tested.union(new)
+        if not met.where("more").count():
+            break
+    return found, shared

@@ -190,6 +190,32 @@ def test_drop_near_copies(spark, monkeypatch, hot):
     assert len(got - set(label)) <= 0.05 * (len(docs) - len(set(label)))  # many pairs here lie right at the similarity
 
 
+@pytest.mark.parametrize("hot", [4])
+def test_similar_links_have_the_components_of_all_pairs(spark, monkeypatch, hot):
+    """Groups that hang together by a few of many pairs on both sides of the similarity."""
+    monkeypatch.setattr(similar_texts, "HOT", hot)
+    rng = np.random.default_rng(5)
+    docs, low = [], {}
+    for _ in range(20):
+        base, sets = [f"w{x}" for x in rng.integers(0, 5000, 200)], {}
+        for _ in range(24):
+            edited = list(base)
+            for at in rng.choice(60, rng.integers(2, 6), replace=False):
+                edited[at] = f"n{rng.integers(0, 1 << 30)}"
+            docs.append((len(docs), " ".join(edited)))
+            sets[docs[-1][0]] = similar_texts.shingles_of(docs[-1][1].encode(), 5)
+        label = {i: i for i in sets}
+        for a in sets:
+            for b in sets:
+                if b < a and label[a] != label[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    least, other = sorted((label[a], label[b]))
+                    label = {i: least if x == other else x for i, x in label.items()}
+        low |= label
+    links, _ = similar_texts.similar_links(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    got = {r["node"]: r["label"] for r in components.components(links).collect()}
+    assert {i: got.get(i, i) for i in low} == low
+
+
 def test_drop_near_copies_of_odd_rows(tricky, rows_of, empty):
     got = Counter((r["doc_id"], r["text"]) for r in simhash_dedup.drop_near_copies(tricky).collect())
     gone = Counter(rows_of) - got
