@@ -9,10 +9,11 @@ pairs, and between any two rows the surest path. Cells of over HOT rows are deal
 each links to the leader most like it. Each link is verified on the whole texts, so no pair below the similarity is
 linked.
 
-That is the first round. Cells of over HOT rows whose rows are then not of one component meet again: rows outside the
-cell's main component are sent to all its parts, and pairs of different components whose sketches agree are verified,
-each row's best first, until none is left. The number of pairs is that of true links and failed checks: in a large group
-that lies just below the similarity it grows with the square of the group.
+That is the first round. Cells whose rows are then not of one component meet again, in parts of HOT rows: rows outside
+the cell's main component are sent with their texts to all its parts, and every pair of different components whose
+sketches agree is compared on all shingles where it meets, by hashes, so that only the links found leave the cell; they
+are verified like the first. In a large group that lies just below the similarity these comparisons grow with the square
+of the group.
 
 Cases: null, empty and blank texts have no shingles and no links; texts of fewer words than a shingle are one shingle.
 Rows without doc_id are left out. Rows that share a doc_id link if any of their texts do. Empty tables give no links.
@@ -41,8 +42,6 @@ HOT = 512
 SALTS = 16
 #: How far the share of agreeing sketch bytes may lie off the similarity: 2.8 standard deviations at 0.8.
 MARGIN = 0.1
-#: Candidates of a row in each part in the rounds after the first; the last round takes all.
-RETRIES = (8, 64, None)
 CHUNK = 2048
 
 _RNG = np.random.default_rng(23)
@@ -241,55 +240,79 @@ def _open_rows(made: DataFrame, found: DataFrame) -> DataFrame:
     n = labels.count()
     named = hot_join(made, labels.withColumnRenamed("node", "doc_id"), ["doc_id"], n, F.col("doc_id"), "left")
     rows = named.select(F.explode("cells").alias("cell"), "doc_id", "sketch", F.coalesce("label", "doc_id").alias("label"))
-    cells = durable(rows.groupBy("cell").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where((F.col("low") != F.col("high")) & (F.col("size") > HOT)).select("cell", "size"))
+    cells = durable(rows.groupBy("cell").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("cell", "size"))
     n_cells = cells.count()
     left = durable(hot_join(rows, cells, ["cell"], n_cells, F.col("doc_id")))
     largest = left.groupBy("cell", "label").count().groupBy("cell").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
     return hot_join(left, largest, ["cell"], n_cells, F.col("doc_id"))
 
 
-def _open_links(rows: DataFrame, similarity: float, limit: int | None) -> DataFrame:
-    """rows: _open_rows(). Pairs a, b of a cell and of different labels whose sketches are alike: of each row its best `limit` in a part.
+def _grams(text: bytes, shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles."""
+    words = text.lower().split()
+    known = {w: xxhash.xxh64_intdigest(w) for w in set(words)}
+    return np.unique(gram_hashes(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), min(shingle, len(words)))) if words else np.zeros(0, np.uint64)
+
 
-    more: whether the row has further ones. A cell's parts are met by every row that is not of its main label, so that
-    each pair of different labels meets in some part.
+def _open_links(rows: DataFrame, docs: DataFrame, similarity: float, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """rows: _open_rows(). Links a, b that join what is alike of different labels, compared on the hashes of all shingles.
+
+    A cell's parts are met by every row that is not of its main label, so that each pair of different labels meets in
+    some part. Pairs are compared where they meet and never become rows; each link joins two labels of its part.
     """
     kind = rows.schema["doc_id"].dataType.simpleString()
     link = int((similarity - MARGIN) * MINIMA)
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     parts = F.ceil(F.col("size") / HOT).cast("int")
-    resident = rows.select("cell", F.pmod(F.xxhash64("doc_id"), parts).cast("int").alias("part"), F.lit(0).alias("visits"), "doc_id", "sketch", "label")
+    mine = F.pmod(F.xxhash64("doc_id"), parts).cast("int")
+    resident = rows.select("cell", mine.alias("part"), F.lit(0).alias("visits"), "doc_id", "sketch", "label")
     visitors = rows.where("label <> main").select("cell", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(1).alias("visits"), "doc_id", "sketch", "label")
+    dealt = texts.join(resident.union(visitors), "doc_id").select("cell", "part", "visits", "doc_id", "sketch", "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, labels, sketched = None, [], [], []
+        key, ids, labels, sketched, texts, grams, root = None, [], [], [], [], {}, {}
+
+        def top(label: object) -> object:
+            while (up := root.get(label, label)) != label:
+                label = up
+            return label
+
         for batch in batches:
-            a, b, more = [], [], []
-            id_type = batch.column(3).type
+            if not batch.num_rows:
+                continue
+            a, b = [], []
             raw = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(batch.num_rows, MINIMA)
-            for i, (c, p, visits, doc, label) in enumerate(zip(*[batch.column(k).to_pylist() for k in (0, 1, 2, 3, 5)], strict=True)):
+            for i, (c, p, visits, doc, label, text) in enumerate(zip(*[batch.column(k).to_pylist() for k in (0, 1, 2, 3, 5, 6)], strict=True)):
                 if (c, p) != key:
-                    key, ids, labels, sketched = (c, p), [], [], []
+                    key, ids, labels, sketched, texts, grams, root = (c, p), [], [], [], [], {}, {}
                 if not visits:
                     ids.append(doc)
                     labels.append(label)
                     sketched.append(raw[i])
+                    texts.append(text)
+                    continue
+                if not len(sketched):
                     continue
                 if isinstance(sketched, list):
-                    if not sketched:
-                        continue
                     sketched = np.stack(sketched)
-                same = np.count_nonzero(sketched == raw[i], axis=1)
-                best = [k for k in np.flatnonzero(same >= link).tolist() if labels[k] != label]
-                best.sort(key=lambda k: -same[k])
-                for k in best[:limit]:
-                    a.append(max(doc, ids[k]))
-                    b.append(min(doc, ids[k]))
-                    more.append(limit is not None and len(best) > limit)
+                same, own = np.count_nonzero(sketched == raw[i], axis=1), None
+                near = np.flatnonzero(same >= link)
+                for k in near[np.argsort(-same[near], kind="stable")].tolist():
+                    x, y = top(label), top(labels[k])
+                    if x == y:
+                        continue
+                    own = _grams(text.encode(), shingle) if own is None else own
+                    if k not in grams:
+                        grams[k] = _grams(texts[k].encode(), shingle)
+                    both = len(np.intersect1d(own, grams[k], assume_unique=True))
+                    if both >= similarity * (len(own) + len(grams[k]) - both):
+                        root[x] = y
+                        a.append(max(doc, ids[k]))
+                        b.append(min(doc, ids[k]))
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, id_type), pa.array(b, id_type), pa.array(more)], names=["a", "b", "more"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, batch.column(3).type), pa.array(b, batch.column(3).type)], names=["a", "b"])
 
-    dealt = resident.union(visitors).repartition("cell", "part").sortWithinPartitions("cell", "part", "visits", "doc_id")
-    return dealt.mapInArrow(run, f"a {kind}, b {kind}, more boolean")
+    return dealt.repartition("cell", "part").sortWithinPartitions("cell", "part", "visits", "doc_id").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def similar_links(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, more: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -300,14 +323,7 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_i
     made = durable(sketches(docs, id_col, text_col, shingle))
     shared = made.groupBy("doc_id").agg((F.min("sketch") != F.max("sketch")).alias("differ")).where("differ").select("doc_id")
     links = candidates(made, similarity)
-    tested = durable(links if more is None else links.union(more).distinct())
-    found = durable(verified(tested, docs, similarity, id_col, text_col, shingle))
-    for limit in RETRIES:
-        met = durable(_open_links(_open_rows(made, found), similarity, limit).groupBy("a", "b").agg(F.max("more").alias("more")))
-        new = durable(met.select("a", "b").join(tested, ["a", "b"], "left_anti"))
-        if new.count():
-            found = durable(found.union(verified(new, docs, similarity, id_col, text_col, shingle)))
-            tested = tested.union(new)
-        if not met.where("more").count():
-            break
-    return found, shared
+    links = durable(links if more is None else links.union(more).distinct())
+    found = durable(verified(links, docs, similarity, id_col, text_col, shingle))
+    new = durable(_open_links(_open_rows(made, found), docs, similarity, id_col, text_col, shingle).distinct())
+    return found.union(durable(verified(new, docs, similarity, id_col, text_col, shingle))), shared

@@ -190,7 +190,7 @@ def test_drop_near_copies(spark, monkeypatch, hot):
     assert len(got - set(label)) <= 0.05 * (len(docs) - len(set(label)))  # many pairs here lie right at the similarity
 
 
-@pytest.mark.parametrize("hot", [4])
+@pytest.mark.parametrize("hot", [512, 4])
 def test_similar_links_have_the_components_of_all_pairs(spark, monkeypatch, hot):
     """Groups that hang together by a few of many pairs on both sides of the similarity."""
     monkeypatch.setattr(similar_texts, "HOT", hot)
