@@ -93,6 +93,40 @@ def similar_pairs(vectors: DataFrame, low: float, high: float, queries: DataFram
     return near.withColumn("b", best).where("b = 1").select("qid", "unit_id", "score")
 
 
+def matched_pairs(units: DataFrame, kind: str, low: float = 0.55, high: float = 0.9, n: int | None = None, seed: int = 0) -> DataFrame:
+    """units: unit_id, vec, source, section, page. Related pairs a, b, score of passages that are in one pair at most.
+
+    In hash order each free unit takes its most similar free one within [low, high] among its 40 nearest, itself
+    included; for 'comparison' of another source, for 'bridge' of the same source, another section and a page gap over
+    1. n keeps the first pairs. All units are compared with all. A round settles every unit that no earlier one can touch.
+    """
+    from candela.operators.retrieval import dense
+    from candela.session import durable
+
+    if kind not in ("comparison", "bridge"):
+        raise ValueError(f"unknown kind of pairs {kind}")
+    near = dense(units.select(F.col("unit_id").alias("qid"), "vec"), units.select("unit_id", "vec"), 39).where((F.col("score") >= low) & (F.col("score") <= high))
+    side = lambda c: units.select(F.col("unit_id").alias(c), F.struct("source", "section", "page").alias(f"{c}_at"))
+    both = near.select(F.col("qid").alias("a"), F.col("unit_id").alias("b"), "score").join(side("a"), "a").join(side("b"), "b")
+    same, other = F.col("a_at.source").eqNullSafe(F.col("b_at.source")), ~F.col("a_at.section").eqNullSafe(F.col("b_at.section"))
+    fits = ~same if kind == "comparison" else same & other & (F.abs(F.col("a_at.page") - F.col("b_at.page")) > 1)
+    turn = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(seed)).alias("h"), F.col(c).alias("id"))
+    live, pairs = durable(both.where(fits).select("a", "b", "score", turn("a").alias("turn"))), None
+    while live.limit(1).count():
+        first = live.select(F.col("b").alias("x"), "turn").union(live.select(F.col("a").alias("x"), "turn")).groupBy("x").agg(F.min("turn").alias("first"))
+        best = F.row_number().over(W.partitionBy("a").orderBy(F.round("score", 9).desc(), "b"))
+        wish = live.withColumn("k", best).where("k = 1").drop("k")
+        for c in ("a", "b"):
+            wish = wish.join(first.withColumnRenamed("x", c), c).where("first = turn").drop("first")
+        settled = durable(wish)
+        used = settled.select(F.explode(F.array("a", "b")).alias("x"))
+        for c in ("a", "b"):
+            live = live.join(used.withColumnRenamed("x", c), c, "left_anti")
+        live, pairs = durable(live), settled if pairs is None else pairs.unionByName(settled)
+    out = live.limit(0) if pairs is None else pairs
+    return (out if n is None else out.orderBy("turn").limit(n)).select("a", "b", "score")
+
+
 def score_spread(scored: DataFrame, by: str) -> DataFrame:
     """Least, median and largest score of each kind; the median is the element at half the count, from 0."""
     at = W.partitionBy(by).orderBy("score")

@@ -381,6 +381,14 @@ def pair_mining(spark, d):
     return evaluate.similar_pairs(v, 0.2, 0.45, v.where("unit_id % 100 = 0").withColumnRenamed("unit_id", "qid")).withColumn("score", F.round("score", 6))
 
 
+@query()
+def pair_matching(spark, d):
+    """Both kinds over all units. The table has no places: its label stands for the source, runs of ten for sections, and the id for the page."""
+    v = tables.table(spark, d, "embeddings").select(F.col("vec_id").alias("unit_id"), F.col("embedding").alias("vec"), F.col("label").alias("source"), F.floor(F.col("vec_id") / 10).alias("section"), F.col("vec_id").alias("page"))
+    made = [evaluate.matched_pairs(v, kind, 0.2, 0.45).select(F.lit(kind).alias("kind"), "a", "b", F.round("score", 6).alias("score")) for kind in ("comparison", "bridge")]
+    return made[0].union(made[1])
+
+
 @query()
 def bootstrap_ci(spark, d):
     return evaluate.bootstrap_ci(_metrics(spark, d).select((F.col("n_gold") > 0).cast("int").alias("answerable"), F.col("mrr").alias("value")), "answerable", 200)

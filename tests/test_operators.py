@@ -84,3 +84,30 @@ def test_stream_appends_once(spark, tmp_path):
     stream(1)
     stream(2)  # replayed from the start: adds nothing
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_matched_pairs(spark):
+    """The reference's loop over the same visit order."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    vecs = rng.normal(size=(120, 6)).astype("float32")
+    vecs /= np.linalg.norm(vecs, axis=1, keepdims=True)
+    rows = [(i, v.tolist(), f"s{i % 3}", f"c{i % 4}", i // 9) for i, v in enumerate(vecs)]
+    units = spark.createDataFrame(rows, "unit_id long, vec array<float>, source string, section string, page int")
+    order = [r["unit_id"] for r in units.selectExpr("unit_id", "xxhash64(unit_id, 0) AS h").orderBy("h", "unit_id").collect()]
+    sims = vecs.astype(float) @ vecs.astype(float).T
+    for kind in ("comparison", "bridge"):
+        want, used = [], set()
+        for i in order:
+            if i in used:
+                continue
+            for j in [j for j in np.argsort(-sims[i])[:40].tolist() if j != i and j not in used and 0.55 <= sims[i, j] <= 0.9]:
+                a, b = rows[i], rows[j]
+                if (a[2] != b[2]) if kind == "comparison" else (a[2] == b[2] and a[3] != b[3] and abs(a[4] - b[4]) > 1):
+                    want.append((i, j))
+                    used |= {i, j}
+                    break
+        assert len(want) > 10
+        assert {(r["a"], r["b"]) for r in evaluate.matched_pairs(units, kind).collect()} == set(want)
+        assert {(r["a"], r["b"]) for r in evaluate.matched_pairs(units, kind, n=5).collect()} == set(want[:5])
