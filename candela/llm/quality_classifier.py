@@ -119,7 +119,7 @@ def _lasso(m: np.ndarray, y: np.ndarray, penalty: float, rounds: int) -> tuple[f
     return float(w[0]), w[1:]
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, penalty: float = 1e-3, rounds: int = 300, max_rules: int = 300, seed: int = 7) -> Model:
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, penalty: float = 1e-3, rounds: int = 300, seed: int = 7) -> Model:
     """x: rows by FEATURES; y: 0 or 1."""
     if len(y) == 0 or y.min() == y.max():
         p = (y.sum() + 1.0) / (len(y) + 2.0)
@@ -134,7 +134,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, penalty:
         return Model(float(np.log(y.mean() / (1 - y.mean()))), ())
     m = _matrix(x, rules)
     _, first = np.unique(m, axis=1, return_index=True)  # rules that hold for the same rows are one rule
-    rules = [rules[i] for i in sorted(first)][:max_rules]
+    rules = [rules[i] for i in sorted(first)]
     bias, w = _lasso(_matrix(x, rules), y.astype(float), penalty, rounds)
     return Model(bias, tuple((float(v), tuple((FEATURES[f], above, t) for f, above, t in r)) for v, r in zip(w, rules, strict=True) if abs(v) > 1e-9))
 

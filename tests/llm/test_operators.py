@@ -375,3 +375,12 @@ def test_exponents_meet_their_targets(spark):
     p = np.array([1000, 100, 10.0]) ** a
     p /= p.sum()
     assert -(p * np.log(p)).sum() == pytest.approx(0.9, abs=1e-3)
+
+
+def test_all_distinct_rules_are_weighed(monkeypatch):
+    rng = np.random.default_rng(1)
+    x, y = rng.random((4000, len(quality_classifier.FEATURES))), rng.integers(0, 2, 4000)
+    seen, lasso = [], quality_classifier._lasso
+    monkeypatch.setattr(quality_classifier, "_lasso", lambda m, *a: seen.append(m) or lasso(m, *a))
+    quality_classifier.fit(x, y, rounds=5)
+    assert seen[0].shape[1] > 300
