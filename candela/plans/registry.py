@@ -391,7 +391,7 @@ def pair_matching(spark, d):
 
 @query()
 def bootstrap_ci(spark, d):
-    return evaluate.bootstrap_ci(_metrics(spark, d).select((F.col("n_gold") > 0).cast("int").alias("answerable"), F.col("mrr").alias("value")), "answerable", 200)
+    return evaluate.bootstrap_ci(_metrics(spark, d).select((F.col("n_gold") > 0).cast("int").alias("answerable"), F.col("mrr").alias("value")), "answerable")
 
 
 # Rewards and training pairs

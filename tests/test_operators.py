@@ -111,3 +111,13 @@ def test_matched_pairs(spark):
         assert len(want) > 10
         assert {(r["a"], r["b"]) for r in evaluate.matched_pairs(units, kind).collect()} == set(want)
         assert {(r["a"], r["b"]) for r in evaluate.matched_pairs(units, kind, n=5).collect()} == set(want[:5])
+
+
+def test_bootstrap_query_resamples_by_default(spark, monkeypatch):
+    from candela.plans import registry
+
+    asked = []
+    monkeypatch.setattr(evaluate, "bootstrap_ci", lambda values, by, rounds=1000, seed=0: asked.append(rounds))
+    monkeypatch.setattr(registry, "_metrics", lambda spark, d: spark.createDataFrame([(1, 0.5)], "n_gold int, mrr double"))
+    registry.bootstrap_ci(spark, "")
+    assert asked == [1000]
