@@ -10,13 +10,11 @@ from typing import Any
 
 @dataclass
 class Ingest:
-    parser: str = "layout"
     min_block_chars: int = 20
     chunk_size: int = 1200
     chunk_overlap: int = 200
     child_size: int = 0
     child_overlap: int = 50
-    contextualize: bool = False
 
 
 @dataclass
@@ -56,7 +54,6 @@ class Agent:
 
 @dataclass
 class Eval:
-    bootstrap: int = 1000
     ks: list[int] = field(default_factory=lambda: [1, 3, 5, 10])
 
 

@@ -121,3 +121,13 @@ def test_bootstrap_query_resamples_by_default(spark, monkeypatch):
     monkeypatch.setattr(registry, "_metrics", lambda spark, d: spark.createDataFrame([(1, 0.5)], "n_gold int, mrr double"))
     registry.bootstrap_ci(spark, "")
     assert asked == [1000]
+
+
+def test_settings_that_nothing_reads_are_refused():
+    import pytest
+
+    from candela.config import load_config
+
+    for item in ("ingest.contextualize=true", "ingest.parser=layout", "eval.bootstrap=1000"):
+        with pytest.raises(KeyError):
+            load_config(overrides=[item])
