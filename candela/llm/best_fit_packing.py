@@ -3,10 +3,11 @@
 Documents become token pieces of at most the capacity. Only the histogram of piece lengths (at most `capacity` rows)
 goes to the driver. There the configuration program (fewest sequences so that all pieces are covered, one variable per
 multiset of lengths that fits) is solved approximately by multiplicative weights: lengths that are covered least weigh
-most, and the knapsack dynamic program prices the best configuration under these weights. The fractional solution is
-rounded down; what is left is solved again and finally packed by best fit on the histogram. Each configuration then
-owns a range of sequence ids, and a piece finds its place from its rank among the pieces of its length, so no piece is
-ever gathered. Ranks are counted within salted slices of a length, as one length may hold a third of all pieces.
+most, and the knapsack dynamic program prices the best configurations under these weights. The fractional solution is
+rounded down; what is left is solved again in steps of whole sequences. Best fit on the histogram takes the last few
+percent, where pieces no longer combine. Each configuration then owns a range of sequence ids, and a piece finds its
+place from its rank among the pieces of its length, so no piece is ever gathered. Ranks are counted within salted slices
+of a length, as one length may hold a third of all pieces.
 
 Cases: null text counts as empty (one piece that holds the end id only). Rows without doc_id and repeated rows are
 packed like any other row. An empty table gives an empty result; extra columns are ignored.
@@ -19,6 +20,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,7 +33,13 @@ from candela.llm.common import durable, text_or_empty
 
 CAPACITY = 2048
 END_ID = 0
-ROUNDS = 60  # of multiplicative weights
+#: Rounds of multiplicative weights, and how much a share of coverage changes a price: the second where the first's plan
+#: lies more than GAP above the bound.
+RATES, GAP = ((8, 0.05), (32, 1.0)), 1e-3
+TOLERANCE = 1e-3  # how far a column's step may lie below the best price
+WORTH, LESS = 0.999, 0.98  # the share of the best price that a column needs, and how it falls where none has it
+BATCH = 16  # columns of whole sequences between two pricings
+TAIL = 0.08  # share of the volume within which best fit may take over
 SALTS, ROWS_PER_SALT = 64, 50_000
 CACHE_WORDS = 700_000  # words whose ids a worker remembers, in each of two generations
 MARK = "\x01"
@@ -52,7 +60,7 @@ def _tokenizer(path: str):
 
 
 class WordIds:
-    """Ids of texts under a tokenizer that folds case and whose tokens never span white space: found word by word.
+    """Ids of texts; under a tokenizer that folds case and whose tokens never span white space, found word by word.
 
     The ids of seen words are remembered in two generations of at most `limit` words each; a worker keeps them from
     task to task. Unseen words are encoded together, parted by a mark that is a token of its own.
@@ -62,8 +70,10 @@ class WordIds:
         self.tokenizer, self.limit = _tokenizer(path), limit
         self.known, self.old = {}, {}
         self.mark = self._encode(MARK)
-        if len(self.mark) != 4:
-            raise ValueError("the mark between words must be a single token")
+        probe = "Ab cd, EF\n\u00c9t\u00e9 ab"
+        by_word = b"".join(self._encode(w.decode()) for w in probe.encode().lower().split())
+        #: Whether ids can be found word by word; under any other tokenizer texts are encoded whole.
+        self.by_word = len(self.mark) == 4 and self._encode(probe) == by_word
 
     def _encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
@@ -91,7 +101,7 @@ class WordIds:
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         # A special token's string is cut out before words are: such texts are encoded whole.
-        words = [None if b"<|" in t else t.lower().split() for t in texts]
+        words = [t.lower().split() if self.by_word and b"<|" not in t else None for t in texts]
         self._learn(set().union(*[w for w in words if w]))
         ids = self.known.__getitem__
         return [b"".join(map(ids, w)) if w is not None else array("I", self.tokenizer.encode(t.decode(), add_special_tokens=False).ids).tobytes() for t, w in zip(texts, words, strict=True)]
@@ -137,46 +147,98 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
-def knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of sizes (ascending) with the largest total value that fits: dynamic programming over the capacity."""
-    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    upto = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        best[c], last[c] = best[c - 1], -2
-        if k := upto[c]:
-            reached = best[c - sizes[:k]] + values[:k]
-            i = int(reached.argmax())
-            if reached[i] > best[c]:
-                best[c], last[c] = reached[i], i
-    out, c = {}, capacity
-    while c > 0 and last[c] != -1:
-        if last[c] == -2:
-            c -= 1
-        else:
-            s = int(sizes[last[c]])
-            out[s] = out.get(s, 0) + 1
-            c -= s
-    return out
-
-
-def fractional(hist: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], float]]:
-    """Configurations with fractional counts that cover the histogram, by multiplicative weights."""
+class Pricing:
+    """Knapsack dynamic program over the capacity: the most valuable configuration of lengths under given prices.
+
+    sizes are ascending. best[c] is the largest value that c tokens hold, with any number of copies.
+    """
+
+    def __init__(self, sizes: np.ndarray, prices: np.ndarray, capacity: int):
+        self.sizes, self.prices, self.capacity = sizes, prices, capacity
+        self.upto = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
+        self.best = best = np.zeros(capacity + 1)
+        for c in range(1, capacity + 1):
+            best[c] = best[c - 1]
+            if k := self.upto[c]:
+                best[c] = max(best[c], (best[c - sizes[:k]] + prices[:k]).max())
+
+    def column(self, first: int, free: np.ndarray) -> dict[int, int]:
+        """A configuration (place in sizes: copies) with the length at `first`: the table is walked down from there.
+
+        free[k] copies of a length may be used, one of `first` at least. Of the steps within TOLERANCE of the best the
+        longest length is taken, so short ones are left for what is hard to fill; copies run out in `free`.
+        """
+        out = {first: 1}
+        free[first] -= 1
+        room = self.capacity - int(self.sizes[first])
+        while room > 0 and (k := self.upto[room]):
+            usable = np.flatnonzero(free[:k] >= 1)
+            if not len(usable):
+                break
+            value = self.best[room - self.sizes[usable]] + self.prices[usable]
+            near = usable[value >= self.best[room] * (1 - TOLERANCE)]
+            j = int(near[-1] if len(near) else usable[value.argmax()])
+            out[j] = out.get(j, 0) + 1
+            free[j] -= 1
+            room -= int(self.sizes[j])
+        return out
+
+
+def fractional(hist: dict[int, int], capacity: int, rounds: int = RATES[0][0], eta: float = RATES[0][1]) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """Configurations with fractional counts that cover the histogram, by multiplicative weights; and a lower bound.
+
+    Each round prices the lengths anew: a length's size times exp(-eta * share covered), so what lags costs most. Then
+    the lengths that lag behind the round's share get columns worth about the best price, or wait. Prices are dual values once divided by the
+    best column's, so each round also bounds the program from below.
+    """
     sizes = np.array(sorted(hist))
     need = np.array([hist[s] for s in sizes.tolist()], float)
-    place = {int(s): i for i, s in enumerate(sizes)}
     covered, found = np.zeros(len(sizes)), {}
-    volume = (sizes * need).sum() / capacity
-    eta = 8.0
-    for _ in range(rounds):
-        weight = np.exp(-eta * (covered / need - (covered / need).min()))
-        # Weights say which lengths lag; sizes / capacity is the price of space, which keeps configurations full.
-        config = knapsack(sizes, (sizes / capacity) * (0.5 + weight), capacity)
-        amount = max(1.0, volume / rounds)
-        key = tuple(sorted(config.items()))
-        found[key] = found.get(key, 0.0) + amount
-        for s, a in config.items():
-            covered[place[s]] += a * amount
-    return [(dict(k), x) for k, x in found.items()]
+    bound = float((sizes * need).sum() / capacity)
+    for t in range(1, rounds + 1):
+        prices = sizes * np.exp(-eta * (covered / need - (t - 1) / rounds))
+        pricing = Pricing(sizes, prices, capacity)
+        bound = max(bound, float((need * prices).sum() / pricing.best[capacity]))
+        lag = need * (t / rounds) - covered
+        for i in range(len(sizes) - 1, -1, -1):
+            while lag[i] > 1e-9:
+                column = pricing.column(i, np.where(lag > 1e-9, np.maximum(1, lag), 0))
+                places, copies = np.array(list(column)), np.array(list(column.values()))
+                if prices[places] @ copies < WORTH * pricing.best[capacity]:
+                    break  # it lags on and costs more in the next round
+                amount = float((lag[places] / copies).min())
+                lag[places] -= amount * copies
+                covered[places] += amount * copies
+                key = tuple(sorted((int(sizes[j]), a) for j, a in column.items()))
+                found[key] = found.get(key, 0.0) + amount
+    return [(dict(k), x) for k, x in found.items()], bound
+
+
+def dive(hist: dict[int, int], capacity: int, eta: float = RATES[0][1], batch: int = BATCH) -> Iterator[list[tuple[dict[int, int], int]]]:
+    """The same program in steps of whole sequences, for what the fractional counts leave; a batch of columns per pricing."""
+    sizes = np.array(sorted(hist))
+    need = np.array([hist[s] for s in sizes.tolist()])
+    left = need.copy()
+    while left.any():
+        at = np.flatnonzero(left)
+        free, share = left[at], 1 - left[at] / need[at]
+        pricing = Pricing(sizes[at], sizes[at] * np.exp(-eta * (share - share.mean())), capacity)
+        out: list[tuple[dict[int, int], int]] = []
+        worth = WORTH * pricing.best[capacity]
+        while not out:
+            for i in range(len(at) - 1, -1, -1):
+                while free[i] and len(out) < batch:
+                    column = pricing.column(i, trial := free.copy())
+                    if sum(pricing.prices[j] * a for j, a in column.items()) < worth:
+                        break
+                    free = trial
+                    more = min(int(free[j]) // a for j, a in column.items())
+                    for j, a in column.items():
+                        free[j] -= more * a
+                    out.append(({int(sizes[at[j]]): a for j, a in column.items()}, 1 + more))
+            worth *= LESS
+        left[at] = free
+        yield out
 
 
 def best_fit(hist: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -212,21 +274,56 @@ def best_fit(hist: dict[int, int], capacity: int) -> list[tuple[dict[int, int],
     return [(dict(c), n) for bins in open_bins.values() for c, n in bins.items()]
 
 
-def plan(hist: dict[int, int], capacity: int = CAPACITY, passes: int = 2) -> list[tuple[dict[int, int], int]]:
+def _taken(left: dict[int, int], configs: list[tuple[dict[int, int], int]]) -> dict[int, int]:
+    """What is left of the histogram without these sequences."""
+    left = dict(left)
+    for config, n in configs:
+        for s, a in config.items():
+            left[s] -= n * a
+    return {s: n for s, n in left.items() if n}
+
+
+def _sequences(configs: list[tuple[dict[int, int], int]]) -> int:
+    return sum(n for _, n in configs)
+
+
+def program(hist: dict[int, int], capacity: int = CAPACITY, rounds: int = RATES[0][0], eta: float = RATES[0][1]) -> tuple[list[tuple[dict[int, int], int]], dict[int, int], float]:
+    """Sequences that the configuration program places, the lengths it leaves (at most TAIL of the volume), and its lower bound.
+
+    Fractional counts are rounded down, the rest is solved again in whole steps. Where the last pieces no longer combine
+    well, they are left to best fit: of the cuts within the tail, the one with the fewest sequences in all is taken.
+    """
+    out: list[tuple[dict[int, int], int]] = []
+    if not hist:
+        return out, {}, 0.0
+    columns, bound = fractional(hist, capacity, rounds, eta)
+    out = [(config, int(x)) for config, x in columns if x >= 1]
+    left = _taken(hist, out)
+    tail = TAIL * sum(s * n for s, n in hist.items())
+    best: tuple | None = None
+    for step in chain(dive(left, capacity, eta), [[]]):
+        if sum(s * n for s, n in left.items()) <= tail:
+            total = _sequences(out) + _sequences(best_fit(left, capacity))
+            if best is None or total < best[0]:
+                best = (total, len(out), left)
+        out = out + step
+        left = _taken(left, step)
+    return out[: best[1]], best[2], bound
+
+
+def plan(hist: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
     """Configurations (length: pieces) and how many sequences have each; together they hold the histogram exactly."""
-    left, out = dict(hist), []
-    if full := left.pop(capacity, 0):
-        out.append(({capacity: 1}, full))
-    for _ in range(passes):
-        if sum(left.values()) < 200:
+    rest = dict(hist)
+    full = rest.pop(capacity, 0)
+    best = best_fit(rest, capacity)  # stands only where no run of the program needs as few
+    for rounds, eta in RATES:
+        placed, left, bound = program(rest, capacity, rounds, eta)
+        whole = placed + best_fit(left, capacity)
+        if _sequences(whole) <= _sequences(best):
+            best = whole
+        if _sequences(best) <= (1 + GAP) * bound + 1:
             break
-        for config, x in sorted(fractional(left, capacity), key=lambda c: -c[1]):
-            if (n := min([int(x), *(left.get(s, 0) // a for s, a in config.items())])) > 0:
-                out.append((config, n))
-                for s, a in config.items():
-                    left[s] -= n * a
-        left = {s: n for s, n in left.items() if n}
-    return out + best_fit(left, capacity)
+    return [({capacity: 1}, full)] * (full > 0) + best
 
 
 def slots(configs: list[tuple[dict[int, int], int]]) -> dict[int, tuple[np.ndarray, ...]]:

@@ -313,18 +313,63 @@ def test_packing(tricky, rows_of, empty):
     assert best_fit_packing.pack(empty).count() == 0
 
 
-def test_plan_holds_the_histogram_in_few_sequences():
+def lengths_like(kind):
     rng = np.random.default_rng(2)
-    hist = dict(Counter(np.minimum(2048, rng.lognormal(6, 1.2, 20_000).astype(int) + 1).tolist()))
+    if kind == "documents":
+        return None
+    made = rng.lognormal(6, 1.2, 200_000 if kind == "large" else 20_000) if kind != "uniform" else rng.integers(300, 1500, 20_000)
+    return dict(Counter(np.minimum(2048, made.astype(int) + 1).tolist()))
+
+
+@pytest.mark.parametrize("kind", ["large", "small", "uniform", "documents"])
+def test_the_program_places_the_sequences(spark, kind):
+    hist = lengths_like(kind)
+    if hist is None:
+        docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+        hist = {r["length"]: r["count"] for r in best_fit_packing.pieces(docs).groupBy("length").count().collect()}
     configs = best_fit_packing.plan(hist)
     held = Counter()
     for config, n in configs:
         assert n > 0 and sum(s * a for s, a in config.items()) <= 2048
         held.update({s: a * n for s, a in config.items()})
     assert held == Counter(hist)
-    assert sum(n for _, n in configs) <= 1.01 * sum(s * n for s, n in hist.items()) / 2048 + 1
-    best = best_fit_packing.knapsack(np.array([3, 5, 7]), np.array([3.1, 5.0, 7.5]), 12)
-    assert sum(s * a for s, a in best.items()) <= 12 and sum({3: 3.1, 5: 5.0, 7: 7.5}[s] * a for s, a in best.items()) == pytest.approx(12.5)
+    rest = {s: n for s, n in hist.items() if s < 2048}
+    placed, left, bound = best_fit_packing.program(rest)
+    by_program, by_best_fit = (sum(n for _, n in c) for c in (placed, best_fit_packing.best_fit(left, 2048)))
+    assert by_program >= 0.9 * (by_program + by_best_fit)
+    assert bound >= sum(s * n for s, n in rest.items()) / 2048 - 1e-6
+    total, full = sum(n for _, n in configs), hist.get(2048, 0)
+    assert total == full + by_program + by_best_fit or kind == "uniform"  # the plan is the program's
+    assert total - full <= (1.002 if kind == "uniform" else 1.001) * bound + 1
+    assert total <= full + sum(n for _, n in best_fit_packing.best_fit(rest, 2048))
+
+
+def test_pricing_is_the_best_knapsack():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        sizes = np.sort(rng.choice(np.arange(2, 30), 5, replace=False))
+        prices = sizes * rng.uniform(0.8, 1.2, 5)
+        pricing = best_fit_packing.Pricing(sizes, prices, 40)
+        value = {0: 0.0}
+        for c in range(1, 41):  # brute force over what fits
+            value[c] = max([value[c - 1], *(value[c - s] + p for s, p in zip(sizes.tolist(), prices, strict=True) if s <= c)])
+        assert pricing.best.tolist() == pytest.approx(list(value.values()))
+        first = int(np.argmax(pricing.best[40 - sizes] + prices))
+        column = pricing.column(first, np.full(5, 40))
+        worth = sum(prices[j] * a for j, a in column.items())
+        assert sum(sizes[j] * a for j, a in column.items()) <= 40 and value[40] * 0.97 <= worth <= value[40] + 1e-9
+
+
+def test_ids_under_a_tokenizer_that_keeps_case():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert not best_fit_packing.WordIds(path).by_word
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["Hello World  and\nmore", "UPPER lower", ""]
+    got = best_fit_packing.WordIds(path)([t.encode() for t in texts])
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 # 9
