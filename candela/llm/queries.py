@@ -89,6 +89,56 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _WS = r"[\x20\x09-\x0D]+"
 
+def _url_sql() -> str:
+    """The tree of templates in SQL; one pair of tables for each level that tells templates apart."""
+    u = url_filters
+    levels = ""
+    for k in range(u.DEPTH):
+        levels += f"""
+        c{k} AS (SELECT host, t{k}, g[{k + 1}] AS now, sum(n) AS n FROM s{k} WHERE g[{k + 1}] IS NOT NULL AND g[{k + 1}] <> '*' GROUP BY ALL),
+        w{k} AS (SELECT host, t{k} FROM c{k} GROUP BY ALL HAVING count(*) >= {u.FAN_OUT} AND sum(n) < {u.CHILD_ROWS} * count(*)),
+        s{k + 1} AS (SELECT s.host, s.path, s.n, s.lab, s.bad, s.g, s.tail, s.t{k} || CASE WHEN s.g[{k + 1}] IS NULL THEN ''
+                       WHEN w.host IS NOT NULL AND c.n < {u.CHILD_ROWS} THEN '/*' ELSE '/' || s.g[{k + 1}] END AS t{k + 1}
+               FROM s{k} s LEFT JOIN c{k} c ON c.host = s.host AND c.t{k} = s.t{k} AND c.now = s.g[{k + 1}]
+               LEFT JOIN w{k} w ON w.host = c.host AND w.t{k} = c.t{k}),"""
+    smooth = "({good} + %s * {above}) / ({lab} + %s)" % (u.SMOOTHING, u.SMOOTHING)
+    return rf"""
+        WITH RECURSIVE u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
+        p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                     regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+        r AS (SELECT *, CASE
+                WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+                WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+                WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+                WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM p),
+        d AS (SELECT host, path, count(*) AS n, count(rule) AS lab, count(*) FILTER (rule IN ('net/', 'example.com/de/')) AS bad FROM r GROUP BY ALL),
+        q AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS f FROM d),
+        s0 AS (SELECT host, path, n, lab, bad, list_transform(f[1:{u.DEPTH}], lambda x: CASE WHEN regexp_matches(x, '{u.VALUE}') THEN '*' ELSE x END) AS g,
+                      CASE WHEN len(f) > {u.DEPTH} THEN '/**' WHEN path LIKE '%/' AND len(f) > 0 THEN '/' ELSE '' END AS tail, '' AS t0 FROM q),{levels}
+        t AS (SELECT host, path, t{u.DEPTH} || tail AS template, lab, bad FROM s{u.DEPTH}),
+        m AS (SELECT host, template, sum(lab) AS lab, sum(bad) AS bad FROM t GROUP BY ALL),
+        l AS (SELECT host, template, lab, bad, f, unnest(generate_series(0, greatest(len(f) - 1, 0))) AS level
+              FROM (SELECT *, list_filter(string_split(template, '/'), lambda x: x <> '') AS f FROM m)),
+        k AS (SELECT host, template, lab, bad, level, array_to_string(f[1:level], '/') AS branch FROM l),
+        b AS (SELECT host, branch, sum(lab) AS lab, sum(bad) AS bad FROM k GROUP BY ALL),
+        a AS (SELECT k.host, k.template, k.lab, k.bad, 0 AS level, {smooth.format(good="(b.lab - b.bad)", lab="b.lab", above=u.PRIOR)} AS above
+              FROM k JOIN b ON b.host = k.host AND b.branch = k.branch WHERE k.level = 0
+              UNION ALL
+              SELECT a.host, a.template, a.lab, a.bad, k.level, {smooth.format(good="(b.lab - b.bad)", lab="b.lab", above="a.above")}
+              FROM a JOIN k ON k.host = a.host AND k.template = a.template AND k.level = a.level + 1 JOIN b ON b.host = k.host AND b.branch = k.branch),
+        e AS (SELECT host, template, any_value(lab) AS lab, any_value(bad) AS bad, arg_max(above, level) AS above,
+                     regexp_replace(template, '^/[^/]*', '/~') AS shape FROM a GROUP BY host, template),
+        o AS (SELECT *, sum(lab) OVER (PARTITION BY host, shape) AS a_lab, sum(bad) OVER (PARTITION BY host, shape) AS a_bad FROM e),
+        v AS (SELECT *, CASE WHEN lab > 0 AND a_lab - lab > 0
+                        THEN abs(bad / lab - (a_bad - bad) / (a_lab - lab)) <= {u.Z} * sqrt((a_bad / a_lab) * (1 - a_bad / a_lab) * (1 / lab + 1 / (a_lab - lab)))
+                        ELSE lab = 0 END AS alike, {smooth.format(good="(a_lab - a_bad)", lab="a_lab", above="above")} AS pooled FROM o),
+        j AS (SELECT host, template, CASE WHEN alike THEN pooled ELSE {smooth.format(good="(lab - bad)", lab="lab", above="pooled")} END AS purity FROM v)
+        SELECT r.page_id, r.host, r.path, r.rule,
+               CASE WHEN r.rule IN ('net/', 'example.com/de/') THEN 'block' WHEN r.rule IS NULL AND j.purity < {u.LEAST_PURITY} THEN 'block' ELSE 'allow' END AS verdict
+        FROM r JOIN t ON t.host = r.host AND t.path = r.path JOIN j ON j.host = t.host AND j.template = t.template"""
+
+
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": rf"""
         SELECT doc_id, min(doc_id) OVER (PARTITION BY n) AS keep_id, count(*) OVER (PARTITION BY n) AS group_size,
@@ -104,18 +154,7 @@ ORACLES: dict[str, str] = {
               FROM x LEFT JOIN c ON x.doc_id = c.doc_id AND x.pos = c.p GROUP BY x.doc_id)
         SELECT d.doc_id, len(d.w) AS n_words, coalesce(s.n_removed, 0) AS n_removed, sha256(coalesce(s.kept, '')) AS kept_sha256
         FROM d LEFT JOIN s USING (doc_id)""",
-    # Labels come from the rules alone here, so no template without a rule is ever rejected.
-    "op4_url_filters": r"""
-        WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
-        h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
-        p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-                     regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
-        r AS (SELECT *, CASE
-                WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
-                WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
-                WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
-                WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM p)
-        SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM r""",
+    "op4_url_filters": _url_sql(),
     "op6_quality_rules": rf"""
         WITH d AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '{_WS}'), lambda x: x <> '') AS w,
                           list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l

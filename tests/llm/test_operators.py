@@ -143,6 +143,40 @@ def test_url_rules_and_learned_templates(spark):
     assert url_filters.filter_urls(pages.where("false"), RULES).count() == 0
 
 
+def test_url_labels_reach_branches_without_any(spark):
+    """Of a host whose ruled pages are nearly all blocked the others go; repeated pages, labels and clashing columns change nothing."""
+    urls = [f"http://bad.org/x/{i}" for i in range(40)] + [f"http://bad.org/y/{i}" for i in range(5)] + [f"http://good.example.net/en/{i}" for i in range(40)] + ["http://new.org/y/1", "http://a.org/1/2/3/4/5/6", "http://a.org/1/2/3/4/5/7/"]
+    rows = [(i, u, "clash", "t", 7, "v") for i, u in enumerate(urls)] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, template string, rows int, verdict string")
+    labels = spark.createDataFrame([(85, 0, "x"), (85, 0, "x"), (None, 1, None)], "page_id long, bad int, said string")
+    out = url_filters.filter_urls(pages, RULES, labels)
+    assert out.count() == len(rows)
+    got = {r["page_id"]: r["verdict"] for r in out.collect()}
+    assert {got[i] for i in range(45)} == {"block"} and {got[i] for i in range(45, len(urls))} == {"allow"}
+    assert {r["rule"] for r in out.where("page_id between 40 and 44").collect()} == {None}
+    paths = spark.createDataFrame([("a.org", "/1/2/3/4/5/6", 1, 0, 0), ("a.org", "/w/q/", 1, 0, 0), ("", "", 1, 0, 0)], "host string, path string, rows long, labelled long, bad long")
+    assert {r["path"]: r["template"] for r in url_filters.templates(paths).collect()} == {"/1/2/3/4/5/6": "/*/*/*/*/**", "/w/q/": "/w/q/", "": ""}
+
+
+def test_url_verdicts_equal_their_sql_on_odd_pages(spark, duck):
+    from candela.llm import queries
+
+    rng = np.random.default_rng(9)
+    urls = [None, "none", "://", "http://", "HTTP://A.Example.COM/de/1"]
+    for _ in range(3000):
+        host = f"h{rng.integers(0, 12)}.example.{['com', 'net', 'org'][rng.integers(0, 3)]}"
+        path = "/".join(["", *[["en", "fr", "de", "7", f"w{rng.integers(0, 60)}", ""][rng.integers(0, 6)] for _ in range(rng.integers(0, 7))]])
+        urls.append(f"http://{host}{path}")
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = Counter(tuple(r) for r in url_filters.filter_urls(pages, queries.URL_RULES).collect())
+    import duckdb
+
+    db, table = duckdb.connect(), pages.toPandas()
+    db.register("pages", table)
+    want = Counter(db.execute(queries.ORACLES["op4_url_filters"]).fetchall())
+    assert got == want and len({(v[3] is None, v[4]) for v in want}) == 4
+
+
 # 5
 
 def fingerprint(text, n):
