@@ -8,14 +8,15 @@ work grows with the text, not with documents times shards:
    segment. Anchors seen in a single document are dropped; they cannot repeat.
 2. Equal segments are collapsed to one with its smallest doc_id, before the shuffle. Anchors that still have very many
    different segments are cut into single windows and dealt by these, so none outgrows a shard.
-3. A shard builds an FM-index over the windows that first owners hold and streams the other segments through backward
-   search over its wavelet matrix. Matches of at least a window with a smaller owner are reported as intervals. Hashes
-   only choose candidates; the search compares words.
+3. A shard builds an FM-index over the recurring windows that first owners hold and streams its segments through
+   backward search over the index's wavelet tree. Matches of at least a window with a smaller owner are reported as
+   intervals, those of segments that several documents share too. Hashes only choose candidates; the search compares
+   words, and nothing is removed without it.
 4. Intervals are gathered per document and its words are dropped.
 
 Cases: null text has no words. Rows without doc_id take no part and lose nothing. Rows that share a doc_id are not
 smaller than each other; each is judged on its own text. An empty table gives an empty result; extra columns are
-ignored. Texts of any length are taken whole.
+ignored. Texts of any length are taken whole. Document ids are whole numbers of at most 64 bits.
 """
 
 from __future__ import annotations
@@ -194,34 +195,41 @@ def _single_windows(rows: DataFrame, window: int) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def shard_intervals(segs: list[bytes], lows: np.ndarray, window: int = WINDOW) -> list[list[tuple[int, int]]]:
-    """For each distinct segment, the intervals of its words that stand in windows of a segment with a smaller low."""
+Intervals = list[list[tuple[int, int]]]
+
+
+def shard_intervals(segs: list[bytes], lows: np.ndarray, highs: np.ndarray, window: int = WINDOW) -> tuple[Intervals, Intervals]:
+    """For each distinct segment, the intervals of its words that stand in windows of a smaller document, by backward search.
+
+    A segment's documents run from low to high. The first intervals are repeated from below low and hold for all of its
+    documents; the second are first seen in low and hold for the others.
+    """
     split = [s.split() for s in segs]
     lengths = np.array([len(w) for w in split], np.int64)
     numbers: dict[bytes, int] = {}
     text = np.array([numbers.setdefault(w, len(numbers) + 2) for ws in split for w in ws], np.int64)
     begins = np.cumsum(lengths) - lengths
     seg_of = np.repeat(np.arange(len(segs)), lengths)
-    out: list[list[tuple[int, int]]] = [[] for _ in segs]
+    earlier: Intervals = [[] for _ in segs]
+    copied: Intervals = [[] for _ in segs]
     hashes = gram_hashes(_mixed(text.astype(np.uint64)), window)
     at = np.flatnonzero(np.arange(len(hashes)) + window <= (begins + lengths)[seg_of[: len(hashes)]]) if len(hashes) else np.zeros(0, np.int64)
     if not len(at):
-        return out
+        return earlier, copied
     group = np.unique(hashes[at], return_inverse=True)[1]
-    low = lows[seg_of[at]]
+    low, high = lows[seg_of[at]], highs[seg_of[at]]
     least = np.full(group.max() + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, group, low)
-    later = low > least[group]
-    if not later.any():
-        return out
     wanted = np.zeros(len(least), bool)
-    wanted[group[later]] = True
-    holds = (low == least[group]) & wanted[group]  # the first owners of windows that recur
+    wanted[group[high > least[group]]] = True  # windows that may recur; only these are indexed
+    if not wanted.any():
+        return earlier, copied
+    holds = (low == least[group]) & wanted[group]  # their first owners
 
     def runs(which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         w = at[which]
-        cut = np.flatnonzero(np.r_[True, (np.diff(w) != 1) | (np.diff(seg_of[w]) != 0)])
-        last = np.r_[cut[1:], len(w)] - 1
+        cut = np.flatnonzero(np.r_[True, (np.diff(w) != 1) | (np.diff(seg_of[w]) != 0)]) if len(w) else np.zeros(0, np.int64)
+        last = np.r_[cut[1:], len(w)] - 1 if len(w) else cut
         return w[cut], w[last] + window, seg_of[w[cut]]
 
     a, b, s = runs(np.flatnonzero(holds))
@@ -230,15 +238,22 @@ def shard_intervals(segs: list[bytes], lows: np.ndarray, window: int = WINDOW) -
     dense = np.zeros(len(numbers) + 2, np.int64)
     dense[used] = np.arange(2, len(used) + 2)
     index = FMIndex([dense[p] for p in pieces], lows[s], len(used) + 2)
-    a, b, s = runs(np.flatnonzero(later))
-    hit = np.flatnonzero(matched_windows(index, dense[text], a, b, lows[s], window))
-    if len(hit):
+    text = dense[text]
+
+    def search(which: np.ndarray, below: int, out: Intervals) -> None:
+        a, b, s = runs(np.flatnonzero(which))
+        hit = np.flatnonzero(matched_windows(index, text, a, b, lows[s] + below, window))
+        if not len(hit):
+            return
         cut = np.flatnonzero(np.r_[True, (np.diff(hit) != 1) | (np.diff(seg_of[hit]) != 0)])
         last = np.r_[cut[1:], len(hit)] - 1
         for i, j in zip(hit[cut].tolist(), hit[last].tolist(), strict=True):
             k = int(seg_of[i])
             out[k].append((i - int(begins[k]), j - int(begins[k]) + window))
-    return out
+
+    search(low > least[group], 0, earlier)
+    search((low == least[group]) & (high > low), 1, copied)
+    return earlier, copied
 
 
 def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, hot_segments: int = HOT_SEGMENTS, shard_segments: int = SHARD_SEGMENTS) -> DataFrame:
@@ -261,22 +276,21 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shards = shards_for(rows.select("id", "id2").distinct().count(), shard_segments)
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
-        found = shard_intervals([bytes(s) for s in group["segment"]], group["low"].to_numpy(np.int64), window)
-        keep = np.array([bool(f) or lo < hi for f, lo, hi in zip(found, group["low"], group["high"], strict=True)], bool)
+        earlier, copied = shard_intervals([bytes(s) for s in group["segment"]], group["low"].to_numpy(np.int64), group["high"].to_numpy(np.int64), window)
+        keep = np.array([bool(e or c) for e, c in zip(earlier, copied, strict=True)], bool)
         out = group.loc[keep, ["id", "id2", "low"]].copy()
-        for name, at in (("begins", 0), ("ends", 1)):  # object columns also where there are no rows
+        for name, found, at in (("begins", earlier, 0), ("ends", earlier, 1), ("copy_begins", copied, 0), ("copy_ends", copied, 1)):  # object columns also where there are no rows
             out[name] = pd.Series([[x[at] for x in f] for f, k in zip(found, keep, strict=True) if k], index=out.index, dtype=object)
         return out
 
     verdicts = durable(
         distinct.withColumn("shard", F.pmod(F.xxhash64("anchor", F.lit(7)), F.lit(shards)))
-        .groupBy("shard").applyInPandas(search, "id long, id2 long, low long, begins array<long>, ends array<long>")
+        .groupBy("shard").applyInPandas(search, "id long, id2 long, low long, begins array<long>, ends array<long>, copy_begins array<long>, copy_ends array<long>")
     )
-    marks = hot_join(rows.select(*keys, "start", "windows", "id", "id2"), verdicts, ["id", "id2"], verdicts.count(), F.struct("doc_id", "start"), limit=SMALL)
-    whole = F.array(F.struct(F.col("start").alias("b"), (F.col("start") + F.col("windows") + F.lit(window - 1)).alias("e")))
-    part = F.zip_with("begins", "ends", lambda b, e: F.struct((F.col("start") + b).alias("b"), (F.col("start") + e).alias("e")))
+    marks = hot_join(rows.select(*keys, "start", "id", "id2"), verdicts, ["id", "id2"], verdicts.count(), F.struct("doc_id", "start"), limit=SMALL)
+    earlier, copied = (F.zip_with(b, e, lambda b, e: F.struct((F.col("start") + b).alias("b"), (F.col("start") + e).alias("e"))) for b, e in (("begins", "ends"), ("copy_begins", "copy_ends")))
     gone = durable(
-        marks.select(*keys, F.explode(F.when(F.col("doc_id") > F.col("low"), whole).otherwise(part)).alias("x"))
+        marks.select(*keys, F.explode(F.when(F.col("doc_id") > F.col("low"), F.concat(earlier, copied)).otherwise(earlier)).alias("x"))
         .groupBy(*keys).agg(F.collect_set("x").alias("gone"))
     )
     discard(docs.sparkSession, path)
