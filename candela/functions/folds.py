@@ -6,9 +6,10 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-_BOUNDARY = re.compile(r"""(?<=[.!?;])\s+(?=[A-Z("'§0-9])""")
+from candela.functions.text import SENTENCE
+
+_BOUNDARY = re.compile(SENTENCE)
 
 
 def split_pieces(text: str, size: int, overlap: int) -> list[str]:
@@ -80,25 +81,3 @@ def split_table_udf(size: int):
         return text.map(lambda t: split_table_rows(t or "", size))
 
     return run
-
-
-def merge_claims(claims: list, threshold: float = 0.8) -> list[dict]:
-    """Claims in order; one whose words are as good as those of an earlier kept claim only adds its citations to it."""
-    kept: list[tuple[set, dict]] = []
-    for c in claims:
-        words = {w.rstrip("s") for w in re.findall(r"\w+", c["text"].lower())}
-        for other, k in kept:
-            if len(words & other) >= threshold * max(len(words | other), 1):
-                k["citations"] = sorted({*k["citations"], *c["citations"]})
-                break
-        else:
-            kept.append((words, {"text": c["text"], "citations": list(c["citations"])}))
-    return [k for _, k in kept]
-
-
-CLAIMS = ArrayType(StructType([StructField("text", StringType()), StructField("citations", ArrayType(IntegerType()))]))
-
-
-@F.pandas_udf(CLAIMS)
-def merge_claims_udf(claims: pd.Series) -> pd.Series:
-    return claims.map(lambda cs: merge_claims(list(cs)) if cs is not None else None)

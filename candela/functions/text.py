@@ -109,3 +109,24 @@ def model_slug(name: str) -> str:
 def is_heading(text: Column, size: Column, bold: Column, body_size: Column) -> Column:
     ends_open = text.rlike(r"[.,;:]$") & ~text.rlike(NUMBERED)
     return (F.length(text) <= 150) & ~ends_open & ((size >= body_size + 1) | (bold & (F.length(text) < 120)))
+
+
+CLAIMS = "array<struct<words:array<string>,text:string,citations:array<int>>>"
+
+
+def merged_claims(claims: Column, threshold: float = 0.8) -> Column:
+    """claims: array of text, citations (ints). In order; one whose words are alike those of an earlier kept claim only adds its citations to the first such.
+
+    Words are the tokens without trailing s; claims without tokens are alike none. Null stays null.
+    """
+    read = F.transform(claims, lambda c: F.struct(plural_stripped(c["text"]).alias("words"), c["text"].alias("text"), c["citations"].alias("citations")))
+
+    def fold(kept: Column, c: Column) -> Column:
+        alike = F.transform(kept, lambda k: jaccard(k["words"], c["words"]) >= threshold)
+        at = F.array_position(alike, True)
+        both = lambda k: F.array_sort(F.array_union(k["citations"], c["citations"]))
+        grown = F.transform(kept, lambda k, i: F.when(i + 1 == at, F.struct(k["words"].alias("words"), k["text"].alias("text"), both(k).alias("citations"))).otherwise(k))
+        return F.when(at > 0, grown).otherwise(F.concat(kept, F.array(c)))
+
+    kept = F.aggregate(read, F.array().cast(CLAIMS), fold)
+    return F.transform(kept, lambda k: F.struct(k["text"].alias("text"), k["citations"].alias("citations")))

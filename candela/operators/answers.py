@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from candela.functions import text as T
-from candela.functions.folds import merge_claims_udf
 
 REFUSAL_TEXT = "The documents do not contain the answer."
 
@@ -51,7 +50,7 @@ def parse_claims(completion: Column, n_passages: Column) -> Column:
     valid = F.forall(parsed, lambda c: c["text"].isNotNull() & (F.size(c["citations"]) > 0) & F.forall(whole(c), lambda i: F.coalesce((i >= 1) & (i <= n_passages), F.lit(False))))
     cleaned = F.transform(parsed, lambda c: F.struct(F.trim(c["text"]).alias("text"), whole(c).alias("citations")))
     real = F.filter(cleaned, lambda c: (c["text"] != "") & ~T.is_refusal(c["text"]))
-    return F.when(parsed.isNotNull() & valid, merge_claims_udf(real))
+    return F.when(parsed.isNotNull() & valid, T.merged_claims(real))
 
 
 def parse_queries(completion: Column) -> Column:
@@ -96,13 +95,33 @@ def preference_pairs(samples: DataFrame, margin: float = 0.5) -> DataFrame:
     return scored.where((F.col("n") >= 2) & (gap >= margin)).select("prompt", F.col("hi.completion").alias("chosen"), F.col("lo.completion").alias("rejected"), gap.alias("margin"))
 
 
+#: Slices of a hash order, counted before rows are ranked within them.
+SLICES = 4096
+
+
 def anti_refusal_pairs(answers: DataFrame, refusals: DataFrame, seed: int = 0) -> DataFrame:
-    """(question, prompt, chosen) and (question): as many pairs as refusals, those that share a question first, the rest in hash order."""
-    asked = refusals.select("question").distinct().withColumn("shared", F.lit(1))
-    one = answers.withColumn("n", F.row_number().over(W.partitionBy("question").orderBy(F.col("prompt").desc())))
-    marked = one.join(asked, "question", "left").withColumn("first", (F.col("n") == 1) & F.col("shared").isNotNull())
-    ranked = marked.orderBy(F.coalesce("first", F.lit(False)).desc(), F.xxhash64("prompt", F.lit(seed)), "prompt")
-    return ranked.limit(refusals.count()).select("prompt", "chosen", F.lit(REFUSAL_TEXT).alias("rejected"), F.lit("anti_refusal").alias("kind"))
+    """answers: prompt, question, chosen; refusals: question. As many pairs that prefer the answer as there are refusals.
+
+    Only answers whose completion parses to a claim count. Those that share a question with a refusal come first, for
+    each question the last prompt's; the rest fill up in the order of their hashes, ranked within slices of it.
+    """
+    n = F.size(parse_claims(F.col("chosen"), F.lit(99)))
+    usable = answers.where(n > 0).select("prompt", "question", "chosen")
+    asked = refusals.select("question").distinct().withColumn("shared", F.lit(True))
+    last = usable.groupBy("question").agg(F.max("prompt").alias("last"))
+    marked = usable.join(last, "question").join(asked, "question", "left").withColumn("first", F.coalesce((F.col("prompt") == F.col("last")) & F.col("shared"), F.lit(False)))
+    key = F.sha1(F.concat_ws("|", F.lit(seed), F.col("prompt").cast("string")))
+    marked = marked.withColumn("key", key).withColumn("slice", F.conv(F.substring("key", 1, 3), 16, 10).cast("int"))
+    rest = marked.where("not first")
+    within = rest.withColumn("within", F.row_number().over(W.partitionBy("slice").orderBy("key", "prompt")))
+    sizes = rest.groupBy("slice").agg(F.count("*").alias("c"))
+    before = sizes.select("slice", F.coalesce(F.sum("c").over(W.orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    wanted = refusals.agg(F.count("*").alias("wanted"))
+    picked = marked.where("first").agg(F.count("*").alias("picked"))
+    room = F.broadcast(wanted.crossJoin(picked))  # one row
+    fill = within.join(F.broadcast(before), "slice").crossJoin(room).where(F.col("before") + F.col("within") <= F.col("wanted") - F.col("picked"))
+    out = marked.where("first").select("prompt", "chosen").unionByName(fill.select("prompt", "chosen"))
+    return out.select("prompt", "chosen", F.lit(REFUSAL_TEXT).alias("rejected"), F.lit("anti_refusal").alias("kind"))
 
 
 def render(answers: DataFrame) -> DataFrame:
@@ -115,9 +134,11 @@ def render(answers: DataFrame) -> DataFrame:
     return answers.withColumn("rendered", F.concat_ws("\n\n", F.nullif(body, F.lit("")), F.nullif(F.array_join(F.transform(shown, line), "\n"), F.lit(""))))
 
 
-def expand(chunks: DataFrame, max_chars: int = 4000, steps: int | None = None) -> DataFrame:
+def expand(chunks: DataFrame, max_chars: int = 4000, steps: int | None = None, only: DataFrame | None = None) -> DataFrame:
     """chunks: unit_id, source, section, ord, page, text. unit_id, big, page, page_end: each chunk grown over its neighbours.
 
+    only: unit_id; those chunks alone, so texts of runs that hold none of them are never read into the frames.
+
     Growth takes the chunk before, then the one after, once a step, while they lie in the same run of the section and
     the texts stay within max_chars; steps limits it, None grows over the whole section. A chunk's frame holds no more
     than what the budget can reach.
@@ -125,11 +146,16 @@ def expand(chunks: DataFrame, max_chars: int = 4000, steps: int | None = None) -
     by_source = W.partitionBy("source").orderBy("ord")
     df = chunks.withColumn("size", F.length("text")).withColumn("turns", F.coalesce((~F.col("section").eqNullSafe(F.lag("section").over(by_source))).cast("int"), F.lit(0)))
     df = df.withColumn("run", F.sum("turns").over(by_source))
+    if only is not None:
+        runs = df.select("unit_id", "source", "run").join(only.select("unit_id").distinct(), "unit_id", "left_semi").select("source", "run").distinct()
+        df = df.join(runs, ["source", "run"], "left_semi")
     run = W.partitionBy("source", "run")
     df = df.withColumn("reach", F.sum("size").over(run.orderBy("ord").rowsBetween(W.unboundedPreceding, W.currentRow)))
     frame = run.orderBy("reach").rangeBetween(-max_chars, max_chars) if steps is None else run.orderBy("ord").rowsBetween(-steps, steps)
     near = F.collect_list(F.struct("ord", "size", "page", "text")).over(frame)
     df = df.withColumn("near", F.array_sort(near))
+    if only is not None:
+        df = df.join(only.select("unit_id").distinct(), "unit_id", "left_semi")
     df = df.withColumn("before", F.reverse(F.filter("near", lambda c: c["ord"] < F.col("ord")))).withColumn("after", F.filter("near", lambda c: c["ord"] > F.col("ord")))
     rounds = F.greatest(F.size("before"), F.size("after"))
     if steps is not None:

@@ -121,10 +121,18 @@ def weak_questions(reranked: DataFrame, threshold: float) -> DataFrame:
     return reranked.groupBy("qid").agg(F.max("score").alias("top")).where(F.col("top") < threshold)
 
 
-def follow_up(first: DataFrame, more: DataFrame, top: int) -> DataFrame:
-    """One further hop: each question's best unseen hit is pinned behind the best top - 1 of the rest."""
-    new = top_k(unseen(more, first).drop("rank"), 1, ["qid"]).select("qid", "unit_id", "score", F.lit(1).alias("pinned"))
-    old = first.join(new.select("qid", F.lit(1).alias("n")), "qid", "left").where(F.col("rank") <= top - F.coalesce("n", F.lit(0)))
-    both = old.select("qid", "unit_id", "score", F.lit(0).alias("pinned")).unionByName(new)
-    order = W.partitionBy("qid").orderBy("pinned", F.round("score", 9).desc(), "unit_id")
-    return both.withColumn("rank", F.row_number().over(order))
+def follow_up(pool: DataFrame, top: int) -> DataFrame:
+    """pool: qid, unit_id, score, pinned. Old hits and all new ones, scored against the original question; pinned is the hop that pinned a hit, or 0.
+
+    The best of the rest fill top less the pins; the pins follow in the order of their hops.
+    """
+    pins = pool.groupBy("qid").agg(F.sum((F.col("pinned") > 0).cast("int")).alias("pins"))
+    rest = top_k(pool.where("pinned = 0"), top, ["qid"]).join(pins, "qid").where(F.col("rank") <= top - F.col("pins"))
+    both = rest.select("qid", "unit_id", "score", "pinned", "rank").unionByName(pool.where("pinned > 0").select("qid", "unit_id", "score", "pinned", (top + F.col("pinned")).alias("rank")))
+    return both.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("rank")))
+
+
+def pinned_best(new: DataFrame, hop: int) -> DataFrame:
+    """new: qid, unit_id, rank of unseen hits. Adds pinned: the hop for each question's best, else 0."""
+    best = F.min(F.struct("rank", "unit_id")).over(W.partitionBy("qid"))
+    return new.withColumn("pinned", F.when(best["unit_id"] == F.col("unit_id"), hop).otherwise(0))

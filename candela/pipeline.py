@@ -79,32 +79,34 @@ def corrected(hits: DataFrame, questions: DataFrame, units: DataFrame, config: C
 def iterated(hits: DataFrame, questions: DataFrame, units: DataFrame, config: Config) -> DataFrame:
     """Follow-up searches for what the passages lack; the best new hit of each hop is pinned behind the best of the rest.
 
-    A question leaves the loop when nothing is missing, a follow-up repeats or finds nothing new.
+    A follow-up is searched and reranked as a question of its own; its unseen hits join the old ones, and all are
+    reranked against the original question. A question leaves the loop when nothing is missing, or when a follow-up
+    repeats, but for case and outer blanks, or finds nothing new.
     """
     top = config.retrieval.top_k
+    most = 2 * top + config.agent.max_hops
     hits = hits.withColumn("pinned", F.lit(0))
     said = None
     live = questions.select("qid")
     for hop in range(1, config.agent.max_hops + 1):
         wanted = _gathered(hits.join(live, "qid", "left_semi")).select("qid", models.missing_tokens(F.col("question"), F.col("texts")).alias("text")).where("text is not null")
+        wanted = wanted.withColumn("asked", F.lower(F.trim("text")))
         if said is not None:
-            wanted = wanted.join(said, ["qid", "text"], "left_anti")
-        wanted = durable(wanted)
-        said = wanted if said is None else said.unionByName(wanted)
-        more = _reranked(candidates(wanted, units, config).where(F.col("rank") <= config.retrieval.rerank_k), wanted, units, config)
-        new = retrieval.top_k(retrieval.unseen(more, hits).drop("rank"), 1, ["qid"])
-        new = durable(new.select("qid", "unit_id", F.lit(hop).alias("pinned")))
-        live = new.select("qid")
-        old = hits.join(live, "qid", "left_semi")
-        # All hits are scored against the question again; the pool is old hits, pins and the new pin.
-        pool = old.select("qid", "unit_id", "pinned").unionByName(new).select("qid", "unit_id", "pinned", F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
-        scored = _reranked(pool.drop("pinned"), questions, units, config, top + 1).join(pool.select("qid", "unit_id", "pinned"), ["qid", "unit_id"])
-        pins = scored.groupBy("qid").agg(F.sum((F.col("pinned") > 0).cast("int")).alias("pins"))
-        rest = retrieval.top_k(scored.where("pinned = 0").drop("rank"), top, ["qid"]).join(pins, "qid").where(F.col("rank") <= top - F.col("pins")).drop("pins")
-        fixed = scored.where("pinned > 0").withColumn("rank", F.lit(top) + F.col("pinned"))
-        both = rest.unionByName(fixed)
-        place = F.row_number().over(retrieval.W.partitionBy("qid").orderBy("rank"))
-        hits = durable(hits.join(live, "qid", "left_anti").unionByName(both.withColumn("rank", place)))
+            wanted = wanted.join(said, ["qid", "asked"], "left_anti")
+        wanted = durable(wanted.select("qid", "text", "asked"))
+        said = wanted.select("qid", "asked") if said is None else said.unionByName(wanted.select("qid", "asked"))
+        asked = wanted.select("qid", "text", F.lit(2.0).alias("weight"))
+        more = _reranked(fused(asked, units, config).where(F.col("rank") <= config.retrieval.rerank_k), wanted, units, config)
+        new = durable(retrieval.pinned_best(retrieval.unseen(more, hits).select("qid", "unit_id", "rank"), hop))
+        live = new.select("qid").distinct()
+        old = hits.join(live, "qid", "left_semi").select("qid", "unit_id", "rank", "pinned")
+        pool = durable(old.unionByName(new.withColumn("rank", F.col("rank") + top + config.agent.max_hops)))
+        scored = _reranked(pool.select("qid", "unit_id", F.lit(0.0).alias("score"), F.row_number().over(retrieval.W.partitionBy("qid").orderBy("rank", "unit_id")).alias("rank")), questions, units, config, most)
+        if config.retrieval.reranker is None:
+            scored = scored.withColumn("score", -F.col("rank").cast("double"))  # as they came
+        scored = scored.drop("rank").join(pool.select("qid", "unit_id", "pinned"), ["qid", "unit_id"])
+        chosen = retrieval.follow_up(scored, top).join(scored.select("qid", "unit_id", "question", "text"), ["qid", "unit_id"])
+        hits = durable(hits.join(live, "qid", "left_anti").unionByName(chosen.select(*hits.columns)))
     return hits.drop("pinned")
 
 
@@ -125,7 +127,7 @@ def retrieve(questions: DataFrame, units: DataFrame, config: Config) -> DataFram
 def _expanded(hits: DataFrame, units: DataFrame, config: Config) -> DataFrame:
     """Each hit as its window or section; hits within an earlier span go. units needs source, section, ord and page."""
     a = config.agent
-    spans = answers.expand(units, a.context_chars, a.context_window if a.context == "window" else None)
+    spans = answers.expand(units, a.context_chars, a.context_window if a.context == "window" else None, only=hits)
     where = units.select("unit_id", "source", "section", F.col("page").alias("at"))
     merged = answers.merge_spans(hits.join(where, "unit_id").join(spans, "unit_id"))
     return hits.drop("text", "rank").join(merged.select("qid", "unit_id", "rank", F.col("big").alias("text")), ["qid", "unit_id"])

@@ -12,7 +12,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from candela.functions import text as T
-from candela.functions.folds import merge_claims_udf
 from candela.operators import answers, chunking, evaluate, layout, retrieval
 from candela.sources import tables
 
@@ -179,12 +178,19 @@ def relevance_gate(spark, d):
     return retrieval.weak_questions(_reranked(spark, d), 0.5).withColumn("top", F.round("top", 6))
 
 
-@query(f"""WITH {RERANK}, x AS (SELECT qid, unit_id, score FROM sp ANTI JOIN re USING (qid, unit_id)),
-    n AS (SELECT qid, unit_id, score FROM x QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, unit_id) = 1),
-    o AS (SELECT qid, unit_id, score, 0 AS pinned FROM re WHERE rank <= 5 - (SELECT count(*) FROM n WHERE n.qid = re.qid) UNION ALL SELECT qid, unit_id, score, 1 FROM n)
-    SELECT qid, unit_id, pinned, row_number() OVER (PARTITION BY qid ORDER BY pinned, round(score, 9) DESC, unit_id) AS rank FROM o""")
+@query(f"""WITH {RERANK}, x AS (SELECT qid, unit_id, rank FROM sp ANTI JOIN re USING (qid, unit_id)),
+    n AS (SELECT qid, unit_id, CASE WHEN row_number() OVER (PARTITION BY qid ORDER BY rank, unit_id) = 1 THEN 1 ELSE 0 END AS pinned FROM x),
+    o AS (SELECT qid, unit_id, 0 AS pinned FROM re UNION ALL SELECT qid, unit_id, pinned FROM n),
+    z AS (SELECT o.*, len(list_intersect(list_distinct(q.toks), list_distinct(u.toks))) / greatest(len(list_distinct(list_concat(q.toks, u.toks))), 1) AS score FROM o JOIN q USING (qid) JOIN u USING (unit_id)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY qid, pinned ORDER BY round(score, 9) DESC, unit_id) AS r, sum(pinned) OVER (PARTITION BY qid) AS pins FROM z)
+    SELECT qid, unit_id, pinned, row_number() OVER (PARTITION BY qid ORDER BY pinned, r) AS rank FROM k WHERE pinned > 0 OR r <= 5 - pins""")
 def iterative_hop(spark, d):
-    return retrieval.follow_up(_reranked(spark, d), _sparse(spark, d), 5).select("qid", "unit_id", "pinned", "rank")
+    first = _reranked(spark, d)
+    new = retrieval.pinned_best(retrieval.unseen(_sparse(spark, d), first).select("qid", "unit_id", "rank"), 1)
+    pool = first.select("qid", "unit_id", F.lit(0).alias("pinned")).unionByName(new.select("qid", "unit_id", "pinned"))
+    texts = pool.join(tables.units(spark, d).select("unit_id", "text"), "unit_id").join(tables.questions(spark, d).withColumnRenamed("text", "question"), "qid")
+    scored = texts.select("qid", "unit_id", "pinned", retrieval.overlap_scorer(F.col("question"), F.col("text")).alias("score"))
+    return retrieval.follow_up(scored, 5).select("qid", "unit_id", "pinned", "rank")
 
 
 # Layout and chunks
@@ -302,11 +308,26 @@ def verify_claims(spark, d):
     return out.select("cid.qid", "cid.turn", "cid.pos", F.round("support_score", 6).alias("support_score"), "supported")
 
 
-@query()
+CLAIM_ROWS = f"""c0 AS (SELECT conv_id, turn, {_sent('text')} AS s FROM conversations WHERE role = 'assistant' AND turn >= 1),
+    cl AS (SELECT conv_id AS qid, turn, generate_subscripts(s, 1) AS pos, unnest(s) AS text, CASE WHEN turn >= 2 THEN [turn - 1, turn - 2] ELSE [turn - 1] END AS cites FROM c0),
+    cw AS (SELECT *, list_distinct(list_transform({_tok('text')}, lambda t: regexp_replace(t, 's+$', ''))) AS words, row_number() OVER (PARTITION BY qid, turn ORDER BY pos) AS i FROM cl)"""
+
+
+@query(f"""WITH RECURSIVE {CLAIM_ROWS},
+    m AS (SELECT qid, turn, i, [struct_pack(w := words, t := text, c := cites)] AS kept FROM cw WHERE i = 1
+          UNION ALL
+          SELECT n.qid, n.turn, n.i, CASE WHEN n.at > 0 THEN list_transform(n.kept, lambda k, j: CASE WHEN j = n.at THEN struct_pack(w := k.w, t := k.t, c := list_sort(list_distinct(list_concat(k.c, n.cites)))) ELSE k END)
+                 ELSE list_append(n.kept, struct_pack(w := n.words, t := n.text, c := n.cites)) END
+          FROM (SELECT cw.qid, cw.turn, cw.i, cw.words, cw.text, cw.cites, m.kept,
+                       coalesce(list_position(list_transform(m.kept, lambda k: len(list_intersect(k.w, cw.words)) / greatest(len(list_distinct(list_concat(k.w, cw.words))), 1) >= 0.8), true), 0) AS at
+                FROM m JOIN cw ON cw.qid = m.qid AND cw.turn = m.turn AND cw.i = m.i + 1) n)
+    SELECT qid, turn, i AS n_claims, len(kept) AS n_kept, sha256(array_to_string(list_transform(kept, lambda k: k.t || ' ' || array_to_string(list_transform(k.c, lambda x: x::VARCHAR), ',')), chr(10))) AS kept_sha
+    FROM m QUALIFY i = max(i) OVER (PARTITION BY qid, turn)""")
 def claim_dedupe(spark, d):
     claims = _claims(spark, d).groupBy("qid", "turn").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text", F.transform("citations", lambda c: c.cast("int")).alias("citations")))), lambda c: F.struct(c["text"].alias("text"), c["citations"].alias("citations"))).alias("claims"))
-    merged = claims.withColumn("kept", merge_claims_udf("claims"))
-    return merged.select("qid", "turn", F.size("claims").alias("n_claims"), F.size("kept").alias("n_kept"))
+    merged = claims.withColumn("kept", T.merged_claims(F.col("claims")))
+    told = F.array_join(F.transform("kept", lambda k: F.concat_ws(" ", k["text"], F.array_join(F.transform(k["citations"], lambda x: x.cast("string")), ","))), "\n")
+    return merged.select("qid", "turn", F.size("claims").alias("n_claims"), F.size("kept").alias("n_kept"), F.sha2(told, 256).alias("kept_sha"))
 
 
 @query("SELECT source, round(sum(length(text)) / greatest(1, sum(n_chars)), 3) AS ratio, count(*) AS n FROM documents GROUP BY source")
@@ -429,11 +450,18 @@ def decompose_reward(spark, d):
     return answers.decompose_reward(gold.join(hits, "qid").withColumn("queries", queries)).select("qid", F.round("reward", 6).alias("reward"))
 
 
-@query("WITH a AS (SELECT conv_id, min(text) AS question FROM conversations WHERE role = 'user' GROUP BY conv_id) SELECT count(*) AS n, count(*) AS prompts FROM a WHERE conv_id % 3 = 0")
+@query(f"""WITH a AS (SELECT conv_id AS prompt, min(text) AS question FROM conversations WHERE role = 'user' GROUP BY conv_id), u AS (SELECT * FROM a WHERE prompt % 5 <> 0),
+    r AS (SELECT question FROM a WHERE prompt % 3 = 0), l AS (SELECT question, max(prompt) AS last FROM u GROUP BY question),
+    m AS (SELECT u.*, u.prompt = l.last AND u.question IN (SELECT question FROM r) AS first, sha1('0|' || u.prompt) AS key FROM u JOIN l USING (question)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY first ORDER BY key, prompt) AS n FROM m)
+    SELECT prompt, '{{"claims": [{{"text": "found ' || prompt || '", "citations": [1]}}]}}' AS chosen, '{answers.REFUSAL_TEXT}' AS rejected, 'anti_refusal' AS kind FROM k
+    WHERE first OR n <= (SELECT count(*) FROM r) - (SELECT count(*) FROM m WHERE first)""")
 def anti_refusal_pairs(spark, d):
+    """Completions stand for answers; those of every fifth conversation do not parse and are left out."""
     asked = tables.table(spark, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.min("text").alias("question"))
-    pairs = answers.anti_refusal_pairs(asked.select("question", F.col("conv_id").alias("prompt"), F.lit("answer").alias("chosen")), asked.where("conv_id % 3 = 0").select("question"))
-    return pairs.agg(F.count("*").alias("n"), F.countDistinct("prompt").alias("prompts"))
+    said = F.concat(F.lit('{"claims": [{"text": "found '), F.col("conv_id").cast("string"), F.lit('", "citations": [1]}]}'))
+    chosen = F.when(F.col("conv_id") % 5 == 0, "I can't say").otherwise(said)
+    return answers.anti_refusal_pairs(asked.select("question", F.col("conv_id").alias("prompt"), chosen.alias("chosen")), asked.where("conv_id % 3 = 0").select("question"))
 
 
 # The whole answering pipeline, with deterministic stand-ins for the models
