@@ -15,10 +15,20 @@ def top_k(scored: DataFrame, k: int, by: list[str], score: str = "score", tie: s
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def token_lists(units: DataFrame) -> DataFrame:
+    """units: unit_id, text. unit_id, dl, toks, units without tokens included."""
+    toks = units.select("unit_id", T.tokens(F.col("text")).alias("toks"))
+    return toks.select("unit_id", F.size("toks").alias("dl"), "toks")
+
+
+def counted(lists: DataFrame) -> DataFrame:
+    """lists: unit_id, dl, toks. unit_id, term, tf, dl."""
+    return lists.select("unit_id", "dl", F.explode("toks").alias("term")).groupBy("unit_id", "term", "dl").agg(F.count("*").alias("tf"))
+
+
 def postings(units: DataFrame) -> DataFrame:
     """units: unit_id, text. unit_id, term, tf, dl."""
-    toks = units.select("unit_id", T.tokens(F.col("text")).alias("toks"))
-    return toks.select("unit_id", F.size("toks").alias("dl"), F.explode("toks").alias("term")).groupBy("unit_id", "term", "dl").agg(F.count("*").alias("tf"))
+    return counted(token_lists(units))
 
 
 def corpus_stats(units: DataFrame) -> DataFrame:
@@ -41,11 +51,15 @@ def bm25(questions: DataFrame, units: DataFrame, k: int = 20, k1: float = 1.5, b
     stats = corpus_stats(units)
     terms = query_terms(questions)
     posts = postings(units).join(terms.select("term").distinct(), "term", "left_semi")
-    weights = term_stats(posts, stats)
+    return bm25_hits(terms, posts, term_stats(posts, stats), stats, k, k1, b)
+
+
+def bm25_hits(terms: DataFrame, posts: DataFrame, weights: DataFrame, stats: DataFrame, k: int = 20, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """terms: qid, term; posts: unit_id, term, tf, dl; weights: term, idf; stats: one row with avgdl. qid, unit_id, score, rank."""
     n = F.broadcast(stats.select("avgdl"))
     tf = F.col("tf")
     part = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    hits = terms.join(posts, "term").join(weights, "term").crossJoin(n)
+    hits = terms.join(weights.select("term", "idf"), "term").join(posts, "term").crossJoin(n)
     return top_k(hits.groupBy("qid", "unit_id").agg(F.sum(part).alias("score")), k, ["qid"])
 
 
@@ -106,6 +120,11 @@ def overlap_scorer(question: Column, text: Column) -> Column:
     return T.jaccard(F.array_distinct(T.tokens(question)), F.array_distinct(T.tokens(text)))
 
 
+def token_scorer(question: Column, unit: Column) -> Column:
+    """As overlap_scorer, of token lists that are at hand."""
+    return T.jaccard(F.array_distinct(question), F.array_distinct(unit))
+
+
 def containment_scorer(claim: Column, passage: Column) -> Column:
     """A deterministic stand-in for entailment: the share of the claim's tokens that the passage has."""
     words = F.array_distinct(T.tokens(claim))

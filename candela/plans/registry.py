@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from candela.functions import text as T
 from candela.operators import answers, chunking, evaluate, layout, retrieval
-from candela.sources import tables
+from candela.session import shared_dir
+from candela.sources import index, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +30,17 @@ def query(sql: str | None = None):
     return add
 
 
+_STORED: dict[tuple[str, str], index.Index] = {}
+
+
+def stored(spark, d) -> index.Index:
+    """The index of the documents, built once a session and folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORED:
+        _STORED[key] = index.build(tables.units(spark, d), f"{shared_dir(spark)}/index-{abs(hash(d))}")
+    return _STORED[key]
+
+
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 
 
@@ -112,12 +124,11 @@ def citation_tags(spark, d):
 
 @query(f"WITH {BM25} SELECT qid, unit_id, round(score, 6) AS score, rank FROM bm")
 def bm25_topk(spark, d):
-    return retrieval.bm25(tables.questions(spark, d), tables.units(spark, d)).withColumn("score", F.round("score", 6))
+    return stored(spark, d).bm25(tables.questions(spark, d)).withColumn("score", F.round("score", 6))
 
 
 def _sparse(spark, d):
-    posts = retrieval.postings(tables.units(spark, d)).withColumn("w", F.log(1 + F.col("tf")))
-    return retrieval.sparse_dot(retrieval.query_terms(tables.questions(spark, d)).withColumn("w", F.lit(1.0)), posts)
+    return stored(spark, d).sparse_dot(retrieval.query_terms(tables.questions(spark, d)).withColumn("w", F.lit(1.0)))
 
 
 @query(f"WITH {UNITS}, {POSTS}, {QTERMS}, {SPARSE} SELECT qid, unit_id, round(score, 6) AS score, rank FROM sp")
@@ -142,7 +153,7 @@ def maxsim_topk(spark, d):
 
 
 def _fused(spark, d):
-    bm = retrieval.bm25(tables.questions(spark, d), tables.units(spark, d)).withColumn("weight", F.lit(2.0))
+    bm = stored(spark, d).bm25(tables.questions(spark, d)).withColumn("weight", F.lit(2.0))
     return retrieval.reciprocal_ranks(bm.unionByName(_sparse(spark, d).withColumn("weight", F.lit(1.0))))
 
 
@@ -164,8 +175,9 @@ def hybrid_candidates(spark, d):
 
 
 def _reranked(spark, d):
-    cands = _fused(spark, d).where("rank <= 20").join(tables.units(spark, d).select("unit_id", "text"), "unit_id").join(tables.questions(spark, d).withColumnRenamed("text", "question"), "qid")
-    return retrieval.rerank(cands, retrieval.overlap_scorer).select("qid", "unit_id", "score", "rank")
+    asked = tables.questions(spark, d).select("qid", T.tokens(F.col("text")).alias("question"))
+    cands = _fused(spark, d).where("rank <= 20").join(stored(spark, d).table("tokens").select("unit_id", F.col("toks").alias("text")), "unit_id").join(asked, "qid")
+    return retrieval.rerank(cands, retrieval.token_scorer).select("qid", "unit_id", "score", "rank")
 
 
 @query(f"WITH {RERANK} SELECT qid, unit_id, round(score, 6) AS score, rank FROM re")
@@ -357,7 +369,7 @@ METRICS = f"""{BM25}, {GOLD}, r AS (SELECT g.qid, g.page, min(rank) AS rank FROM
 
 def _metrics(spark, d):
     q = tables.questions(spark, d)
-    hits = retrieval.bm25(q, tables.units(spark, d)).select("qid", F.col("unit_id").alias("page"), "rank")
+    hits = stored(spark, d).bm25(q).select("qid", F.col("unit_id").alias("page"), "rank")
     return evaluate.retrieval_metrics(hits, _gold(spark, d), q)
 
 
@@ -444,7 +456,7 @@ def preference_pairs(spark, d):
 @query(f"""WITH {BM25}, {GOLD}, t AS (SELECT qid, list(unit_id) AS pages FROM bm WHERE rank <= 5 GROUP BY qid), gg AS (SELECT qid, list(DISTINCT page) AS gold FROM g GROUP BY qid)
     SELECT qid, round(CASE WHEN qid % 7 = 0 THEN -1.0 ELSE len(list_intersect(gold, pages)) / len(gold) - 0.1 * greatest(0, qid % 5 - 3) END, 6) AS reward FROM gg JOIN t USING (qid)""")
 def decompose_reward(spark, d):
-    hits = retrieval.bm25(tables.questions(spark, d), tables.units(spark, d), k=5).groupBy("qid").agg(F.collect_list("unit_id").alias("pages"))
+    hits = stored(spark, d).bm25(tables.questions(spark, d), k=5).groupBy("qid").agg(F.collect_list("unit_id").alias("pages"))
     gold = _gold(spark, d).groupBy("qid").agg(F.collect_set("page").alias("gold"))
     queries = F.when(F.col("qid") % 7 != 0, F.array_repeat(F.lit("sub question"), (F.col("qid") % 5).cast("int")))
     return answers.decompose_reward(gold.join(hits, "qid").withColumn("queries", queries)).select("qid", F.round("reward", 6).alias("reward"))

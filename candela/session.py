@@ -29,9 +29,18 @@ def local_session(cpus: int | str | None = None, app: str = "candela", **conf: s
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one of our own only where none is set and all runs on this machine, as in tests."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp("candela"))
+    return context.getCheckpointDir()
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the folder of spark.checkpoint.dir; one of our own only where none is set, as in tests."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("candela"))
+    """Cut the lineage by a checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
