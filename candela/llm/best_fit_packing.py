@@ -16,6 +16,7 @@ packed like any other row. An empty table gives an empty result; extra columns a
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -35,14 +36,19 @@ CAPACITY = 2048
 END_ID = 0
 #: Rounds of multiplicative weights, and how much a share of coverage changes a price: the second where the first's plan
 #: lies more than GAP above the bound.
-RATES, GAP = ((8, 0.05), (32, 1.0)), 1e-3
+RATES, GAP = ((4, 0.05), (32, 1.0)), 1e-3
 TOLERANCE = 1e-3  # how far a column's step may lie below the best price
 WORTH, LESS = 0.999, 0.98  # the share of the best price that a column needs, and how it falls where none has it
-BATCH = 16  # columns of whole sequences between two pricings
+BATCH = 32  # columns of whole sequences between two pricings
 TAIL = 0.08  # share of the volume within which best fit may take over
 SALTS, ROWS_PER_SALT = 64, 50_000
 CACHE_WORDS = 700_000  # words whose ids a worker remembers, in each of two generations
 MARK = "\x01"
+#: Lower-case Latin letters, and a run of ASCII signs (no apostrophe) behind them: each is one word to the tokenizer's model.
+LETTERS = rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+"
+PLAIN = re.compile(rb"(" + LETTERS + rb")([!-&(-/:-@\[-`{-~]*)").fullmatch
+#: How a byte-level model spells bytes that don't print.
+SPELT = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
 
 
 def default_tokenizer() -> str:
@@ -68,24 +74,43 @@ class WordIds:
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
         self.tokenizer, self.limit = _tokenizer(path), limit
-        self.known, self.old = {}, {}
+        self.model = self.tokenizer.model
+        self.known, self.old, self.signs = {}, {}, {}
         self.mark = self._encode(MARK)
-        probe = "Ab cd, EF\n\u00c9t\u00e9 ab"
-        by_word = b"".join(self._encode(w.decode()) for w in probe.encode().lower().split())
+        probe = "Ab cd, EF\n\u00c9t\u00e9 ab na\u00efve.*** stra\u00dfe"
+        words = probe.encode().lower().split()
         #: Whether ids can be found word by word; under any other tokenizer texts are encoded whole.
-        self.by_word = len(self.mark) == 4 and self._encode(probe) == by_word
+        self.by_word = len(self.mark) == 4 and self._encode(probe) == b"".join(self._encode(w.decode()) for w in words)
+        self.by_model = self.by_word and all(self._modelled(m) == self._encode(w.decode()) for w in words if (m := PLAIN(w)))
 
     def _encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
+    def _modelled(self, m: re.Match) -> bytes:
+        """The ids of a plain word, without the steps before the model: it changes neither case nor letters and is cut between letters and signs."""
+        letters, signs = m.groups()
+        ids = array("I", [t.id for t in self.model.tokenize(letters.decode() if letters.isascii() else letters.decode("latin-1").translate(SPELT))]).tobytes()
+        if not signs:
+            return ids
+        if signs not in self.signs:
+            if len(self.signs) > 10_000:
+                self.signs.clear()
+            self.signs[signs] = array("I", [t.id for t in self.model.tokenize(signs.decode())]).tobytes()
+        return ids + self.signs[signs]
+
     def _learn(self, words: set[bytes]) -> None:
         if len(self.known) > self.limit:
             self.known, self.old = {}, self.known
         known, old = self.known, self.old
         new = words.difference(known)
         again = new.intersection(old)
-        unseen = list(new.difference(again))
         known.update((w, old[w]) for w in again)
+        unseen = []
+        for w in new.difference(again):
+            if self.by_model and (m := PLAIN(w)):
+                known[w] = self._modelled(m)
+            else:
+                unseen.append(w)
         mark, mark_bytes = int.from_bytes(self.mark, "little"), MARK.encode()
         odd = [w for w in unseen if mark_bytes in w]
         plain = [w for w in unseen if mark_bytes not in w] if odd else unseen
@@ -172,12 +197,14 @@ class Pricing:
         free[first] -= 1
         room = self.capacity - int(self.sizes[first])
         while room > 0 and (k := self.upto[room]):
-            usable = np.flatnonzero(free[:k] >= 1)
-            if not len(usable):
-                break
-            value = self.best[room - self.sizes[usable]] + self.prices[usable]
-            near = usable[value >= self.best[room] * (1 - TOLERANCE)]
-            j = int(near[-1] if len(near) else usable[value.argmax()])
+            value = self.best[room - self.sizes[:k]] + self.prices[:k]
+            value[free[:k] < 1] = -1.0
+            near = value[::-1] >= self.best[room] * (1 - TOLERANCE)
+            j = k - 1 - int(near.argmax())
+            if not near[k - 1 - j]:
+                j = int(value.argmax())
+                if value[j] < 0:
+                    break
             out[j] = out.get(j, 0) + 1
             free[j] -= 1
             room -= int(self.sizes[j])

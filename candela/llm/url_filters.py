@@ -42,6 +42,8 @@ DEPTH = 4  # segments that tell templates apart; deeper ones are one tail
 FAN_OUT, CHILD_ROWS = 20, 4.0  # a node with at least so many children of fewer rows on average is a variable
 SMOOTHING, PRIOR, LEAST_PURITY = 10.0, 0.75, 0.5
 Z = 1.96
+#: Rows of hosts and paths that are broadcast; low, as they are long strings.
+FEW_PATHS = 4_000
 VALUE = r"^(?:[0-9][0-9._-]*(?:\.[a-z]{1,5})?|[0-9a-f]{8,}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})$"
 
 
@@ -76,7 +78,7 @@ def templates(paths: DataFrame, depth: int = DEPTH) -> DataFrame:
         parent = child.groupBy("host", "template").agg(F.count("*").alias("fan"), F.sum("c_rows").alias("p_rows")).where((F.col("fan") >= FAN_OUT) & (F.col("p_rows") < CHILD_ROWS * F.col("fan")))
         parent = durable(parent)
         thin = durable(hot_join(child, parent, ["host", "template"], parent.count(), F.col("u_now")).where(F.col("c_rows") < CHILD_ROWS).select("host", "template", "u_now", F.lit(True).alias("thin")))
-        joined = hot_join(at, thin, ["host", "template", "u_now"], thin.count(), F.col("path"), "left")
+        joined = hot_join(at, thin, ["host", "template", "u_now"], thin.count(), F.col("path"), "left", limit=FEW_PATHS)
         step = F.when(F.col("u_now").isNull(), "").otherwise(F.concat(F.lit("/"), F.when(F.col("thin"), "*").otherwise(F.col("u_now"))))
         df = joined.withColumn("template", F.concat("template", step)).drop("u_now", "thin")
     return df.withColumn("template", F.concat("template", "u_tail")).drop("u_seg", "u_tail")
@@ -131,6 +133,6 @@ def filter_urls(pages: DataFrame, rules: list[UrlRule], labels: DataFrame | None
     paths = durable(templates(durable(paths), depth))
     nodes = durable(paths.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")))
     rejected = durable(judged(nodes).where(F.col("purity") < LEAST_PURITY).select("host", "template"))
-    gone = durable(hot_join(paths, rejected, ["host", "template"], rejected.count(), F.col("path")).select("host", "path", F.lit("block").alias("learned")))
-    out = hot_join(base, gone, ["host", "path"], gone.count(), F.col("page_id"), "left")
+    gone = durable(hot_join(paths, rejected, ["host", "template"], rejected.count(), F.col("path"), limit=FEW_PATHS).select("host", "path", F.lit("block").alias("learned")))
+    out = hot_join(base, gone, ["host", "path"], gone.count(), F.col("page_id"), "left", limit=FEW_PATHS)
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", "learned", F.lit("allow")).alias("verdict"))
