@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -22,6 +22,12 @@ from candela.operators.retrieval import containment_scorer, overlap_scorer
 SCORERS: dict[str, Callable[[Column, Column], Column]] = {"overlap": overlap_scorer, "containment": containment_scorer}
 
 
+def verifier_of(verifier: str | None, reranker: str | None) -> Callable[[Column, Column], Column] | None:
+    """The scorer that checks claims: a named one, or the reranker's own; without a reranker there is then none."""
+    name = reranker if verifier == "reranker" else verifier
+    return None if name is None else SCORERS[name]
+
+
 def pandas_scorer(load: Callable[[], Callable[[list[tuple[str, str]]], list[float]]]) -> Callable[[Column, Column], Column]:
     """A scorer around a model that is loaded once per worker and scores batches of pairs."""
 
@@ -34,6 +40,32 @@ def pandas_scorer(load: Callable[[], Callable[[list[tuple[str, str]]], list[floa
     return run
 
 
+def grouped_scores(candidates: DataFrame, load: Callable[[], Callable[[str, list[str]], list[float]]]) -> DataFrame:
+    """candidates: qid, unit_id, question, text. qid, unit_id, score of a model that scores all texts of a question in one call."""
+    kinds = {c: candidates.schema[c].dataType.simpleString() for c in ("qid", "unit_id")}
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        return group[["qid", "unit_id"]].assign(score=load()(group["question"].iloc[0], group["text"].tolist()))
+
+    return candidates.groupBy("qid").applyInPandas(run, f"qid {kinds['qid']}, unit_id {kinds['unit_id']}, score double")
+
+
+def entailment_scorer(load: Callable[[], Callable[[list[tuple[str, str]]], list[list[float]]]], entails: int) -> Callable[[Column, Column], Column]:
+    """A scorer (claim, passage) around a model of (premise, hypothesis) logits: the passage is the premise; the softmax share of the class that entails."""
+
+    def model() -> Callable[[list[tuple[str, str]]], list[float]]:
+        logits = load()
+
+        def score(pairs: list[tuple[str, str]]) -> list[float]:
+            x = np.asarray(logits([(b, a) for a, b in pairs]), float)
+            e = np.exp(x - x.max(axis=1, keepdims=True))
+            return (e[:, entails] / e.sum(axis=1)).tolist()
+
+        return score
+
+    return pandas_scorer(model)
+
+
 def extractive_answer(question: Column, passages: Column) -> Column:
     """A stand-in for a grounded generator: the first sentence of each passage that shares a token with the question, cited."""
     asked = F.array_distinct(T.tokens(question))
@@ -91,3 +123,27 @@ def embed(texts: pd.Series) -> pd.Series:
 
 #: What the stand-in says where no search is needed.
 DIRECT_ANSWER = "How can I help with the documents?"
+
+
+#: Fixed for the stand-in of a token encoder: prefixes, the longest question and text in tokens, and words of texts that are skipped.
+QUERY_PREFIX, TEXT_PREFIX, QUERY_TOKENS, TEXT_TOKENS, SKIPPED = "[q]", "[d]", 32, 300, frozenset(".,;:!?()[]\"'-")
+
+
+def token_matrix(text: str | None, is_query: bool) -> np.ndarray:
+    """A row of length one for each token behind the prefix, cut at the longest; a stand-in for a late-interaction encoder, by hashes."""
+    prefix, most = (QUERY_PREFIX, QUERY_TOKENS) if is_query else (TEXT_PREFIX, TEXT_TOKENS)
+    words = [prefix, *re.findall(r"\w+|[^\w\s]", (text or "").lower())][:most]
+    if not is_query:
+        words = [w for w in words if w not in SKIPPED]
+    rows = np.array([np.random.default_rng(zlib.crc32(w.encode())).standard_normal(DIMENSIONS) for w in words])
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
+@F.pandas_udf(DoubleType())
+def late_interaction_scorer(question: pd.Series, text: pd.Series) -> pd.Series:
+    """For each token of the question its best token of the text, summed."""
+    asked = {q: token_matrix(q, True) for q in question.unique()}
+    return pd.Series([float((asked[q] @ token_matrix(t, False).T).max(axis=1).sum()) for q, t in zip(question, text, strict=True)], dtype="float64")
+
+
+SCORERS["late_interaction"] = late_interaction_scorer

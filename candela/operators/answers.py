@@ -48,11 +48,18 @@ def parse_claims(completion: Column, n_passages: Column) -> Column:
     parsed = F.from_json(T.json_object(completion), COMPLETION, {"mode": "PERMISSIVE"})["claims"]
     whole = lambda c: F.transform(c["citations"], lambda x: x.try_cast("double").try_cast("int"))
     valid = F.forall(parsed, lambda c: c["text"].isNotNull() & (F.size(c["citations"]) > 0) & F.forall(whole(c), lambda i: F.coalesce((i >= 1) & (i <= n_passages), F.lit(False))))
-    cleaned = F.transform(parsed, lambda c: F.struct(F.trim(c["text"]).alias("text"), whole(c).alias("citations")))
+    cleaned = F.transform(parsed, lambda c: F.struct(F.trim(c["text"]).alias("text"), F.array_sort(F.array_distinct(whole(c))).alias("citations")))
     real = F.filter(cleaned, lambda c: (c["text"] != "") & ~T.is_refusal(c["text"]))
     return F.when(parsed.isNotNull() & valid, T.merged_claims(real))
 
 
+def freetext_claims(text: Column, passages: Column) -> Column:
+    """text: a free answer; passages: array of rank, source, page. Its sentences without tags, each citing the passages that its tags name; empty ones go."""
+    cites = lambda s: F.array_sort(F.transform(F.filter(passages, lambda p: F.exists(T.citation_tags(s), lambda t: (t["source"] == p["source"]) & (t["page"] == p["page"]))), lambda p: p["rank"]))
+    told = F.transform(F.split(F.trim(text), T.FREE_SENTENCE), lambda s: F.struct(T.without_tags(s).alias("text"), F.array_distinct(cites(s)).alias("citations")))
+    return F.filter(told, lambda c: c["text"] != "")
+
+
 def parse_queries(completion: Column) -> Column:
     queries = F.from_json(T.json_object(completion), "queries array<string>")["queries"]
     kept = F.filter(F.transform(queries, F.trim), lambda q: q != "")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from candela.functions import text as T
+
 
 #: Slices of a unit of score, and rounds of a block, over which running sums go before they go within.
 SLICES, BLOCK_ROUNDS = 1000, 1000
@@ -42,7 +44,9 @@ def youden_threshold(scored: DataFrame) -> DataFrame:
     by = scored.groupBy("score").agg(F.sum(F.col("positive").cast("int")).alias("p"), F.sum(1 - F.col("positive").cast("int")).alias("n"))
     zero = scored.sparkSession.range(1).select(F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("n"))
     by = by.unionByName(zero).groupBy("score").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    by = by.withColumn("slice", F.floor(F.col("score") * SLICES))
+    # Slices follow the range of the scores, so there are as many for logits as for shares.
+    ends = by.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    by = by.crossJoin(F.broadcast(ends)).withColumn("slice", F.floor((F.col("score") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-12)) * SLICES)).drop("lo", "hi")
     up = W.partitionBy("slice").orderBy(F.col("score").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
     above = W.orderBy(F.col("slice").desc()).rowsBetween(W.unboundedPreceding, -1)
     zeros = lambda c: F.coalesce(F.sum(c).over(above), F.lit(0))
@@ -54,11 +58,14 @@ def youden_threshold(scored: DataFrame) -> DataFrame:
     return run.select(F.col("score").alias("threshold"), j.alias("j")).orderBy(F.round("j", 9).desc(), "threshold").limit(1)
 
 
-def bootstrap_ci(values: DataFrame, by: str, rounds: int = 1000, seed: int = 0) -> DataFrame:
-    """(by, value): half the width of the 95 % bootstrap interval of the mean; null for fewer than two values."""
+def bootstrap_ci(values: DataFrame, by: str, rounds: int = 1000, seed: int = 0, order: str = "value") -> DataFrame:
+    """(by, value, order): half the width of the 95 % bootstrap interval of the mean; null for fewer than two values.
+
+    Values are drawn by their places in the given order, so one seed gives one result.
+    """
 
     def one(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        v = sorted(x for x in group["value"] if x == x)
+        v = [x for x in group.sort_values(order, kind="stable")["value"] if x == x]
         if len(v) < 2:
             return pd.DataFrame({by: [key[0]], "half_width": [None]})
         rng = random.Random(seed)
@@ -74,7 +81,7 @@ def limit_per_type(items: DataFrame, n: int, kind: str = "type", order: str = "i
 
 def round_robin(items: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """(source, id): whole rounds over the sources, each in hash order, until 2n are taken."""
-    ranked = items.withColumn("round", F.row_number().over(W.partitionBy("source").orderBy(F.xxhash64("id", F.lit(seed)), "id")))
+    ranked = items.withColumn("round", F.row_number().over(W.partitionBy("source").orderBy(F.sha1(F.concat_ws("|", F.lit(seed), F.col("id").cast("string"))), "id")))
     sizes = ranked.groupBy("round").agg(F.count("*").alias("c"))
     sizes = sizes.withColumn("block", F.floor(F.col("round") / BLOCK_ROUNDS))
     earlier = lambda w: F.coalesce(F.sum("c").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -147,10 +154,48 @@ def refusal_rates(rows: DataFrame, by: str) -> DataFrame:
 def verdict_score(verdict: Column) -> Column:
     """A judge's verdict as 1, 0.5 or 0; null for any other word."""
     word = F.lower(F.trim(verdict))
-    return F.when(word == "correct", 1.0).when(word == "partially", 0.5).when(word == "incorrect", 0.0)
+    return F.when(word == "correct", 1.0).when(word == "partially_correct", 0.5).when(word == "incorrect", 0.0)
 
 
 def usable_questions(rows: DataFrame) -> DataFrame:
     """rows: usable, needs_both (null for single questions), question. Those long enough, and that need both passages."""
     several = F.col("needs_both").isNotNull()
     return rows.where(F.col("usable") & F.when(several, F.col("needs_both") & (F.length("question") >= 20)).otherwise(F.length("question") >= 15))
+
+
+def citation_metrics(claims: DataFrame, passages: DataFrame, gold: DataFrame) -> DataFrame:
+    """claims: qid, citations, supported; passages: qid, rank, source, page, page_end; gold: qid, source, page.
+
+    qid, cited_claim_rate, cites_gold, cites_all_gold over the claims that are not known to be unsupported. A passage
+    stands for all pages of its range. Questions without such claims have no rate; those without gold no gold columns.
+    """
+    kept = claims.where("supported is null or supported")
+    rate = kept.groupBy("qid").agg(F.avg((F.size("citations") > 0).cast("double")).alias("cited_claim_rate"))
+    cited = kept.select("qid", F.explode("citations").alias("rank")).distinct()
+    used = cited.join(passages, ["qid", "rank"]).select("qid", "source", F.explode(T.page_range(F.col("page"), F.col("page_end"))).alias("page")).distinct()
+    found = gold.select("qid", "source", "page").distinct().join(used.withColumn("hit", F.lit(1)), ["qid", "source", "page"], "left")
+    gold_rows = found.groupBy("qid").agg((F.count("hit") > 0).cast("double").alias("cites_gold"), (F.count("hit") == F.count("*")).cast("double").alias("cites_all_gold"))
+    return rate.join(gold_rows, "qid", "full")
+
+
+#: Which subset each measure of a summary is taken over, by the measure's name in the rows.
+SUBSETS = {
+    "r_5": ("recall_5", "single"), "mrr": ("mrr", "single"), "multi_all_5": ("all_5", "multi"), "multi_all_10": ("all_10", "multi"), "correct": ("correctness", "single"), "multi_correct": ("correctness", "multi"),
+    "faithful": ("faithfulness", "all"), "cited": ("cited_claim_rate", "all"), "cites_gold": ("cites_gold", "single"), "multi_cites_all": ("cites_all_gold", "multi"), "latency_s": ("latency", "all"),
+}
+
+
+def subset_summary(rows: DataFrame, by: str = "variant") -> DataFrame:
+    """rows: variant, type, answerable, insufficient, action and any measures of SUBSETS. One row a variant: counts and means to three digits.
+
+    Single questions, those of two passages (comparison, bridge) and unanswerable ones are apart; a measure without a
+    value is null. Measures that rows lack are left out.
+    """
+    kind = F.coalesce("type", F.lit("single"))
+    subset = {"single": F.col("answerable") & (kind == "single"), "multi": F.col("answerable") & kind.isin("comparison", "bridge"), "unanswerable": ~F.col("answerable"), "all": F.lit(True)}
+    aggs = [F.count("*").alias("n")] + [F.count(F.when(subset[s], 1)).alias(f"n_{s}") for s in ("single", "multi", "unanswerable")]
+    aggs += [F.round(F.avg(F.when(subset[s], F.col(c))), 3).alias(name) for name, (c, s) in SUBSETS.items() if c in rows.columns]
+    aggs.append(F.round(F.avg(F.when(F.col("answerable"), F.col("insufficient").cast("double"))), 3).alias("false_refusal"))
+    refused = (F.col("insufficient") | (F.col("action") == "ANSWER_DIRECTLY")).cast("double")
+    aggs.append(F.round(F.avg(F.when(~F.col("answerable"), refused)), 3).alias("unans_refusal"))
+    return rows.groupBy(by).agg(*aggs)

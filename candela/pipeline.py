@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,11 +40,11 @@ def fused(asked: DataFrame, units: DataFrame, config: Config) -> DataFrame:
     return retrieval.reciprocal_ranks(both, r.rrf_k)
 
 
-def candidates(questions: DataFrame, units: DataFrame, config: Config) -> DataFrame:
+def candidates(questions: DataFrame, units: DataFrame, config: Config, agents=models) -> DataFrame:
     """Rankings of each question (weight 2) and its parts (weight 1), fused by reciprocal ranks."""
     asked = questions.select("qid", "text", F.lit(2.0).alias("weight"))
     if config.agent.decompose:
-        parts = questions.select("qid", F.explode(models.split_question(F.col("text"), config.agent.max_subqueries)).alias("part"), "text")
+        parts = questions.select("qid", F.explode(agents.split_question(F.col("text"), config.agent.max_subqueries)).alias("part"), "text")
         asked = asked.unionByName(parts.where("lower(trim(part)) <> lower(trim(text))").select("qid", F.col("part").alias("text"), F.lit(1.0).alias("weight")))
     return fused(asked, units, config)
 
@@ -60,14 +64,14 @@ def _gathered(hits: DataFrame) -> DataFrame:
     return hits.groupBy("qid", "question").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("texts"))
 
 
-def corrected(hits: DataFrame, questions: DataFrame, units: DataFrame, config: Config) -> DataFrame:
+def corrected(hits: DataFrame, questions: DataFrame, units: DataFrame, config: Config, agents=models) -> DataFrame:
     """Questions whose best score is below crag_threshold are searched again, with a rewrite beside them; old hits are reranked with the new."""
     rerank_k = config.retrieval.rerank_k
     for _ in range(config.agent.crag_retries):
         weak = durable(retrieval.weak_questions(hits, config.agent.crag_threshold).select("qid"))
         mine = hits.join(weak, "qid", "left_semi")
         again = questions.join(weak, "qid", "left_semi")
-        rewrites = _gathered(mine).select("qid", models.rewritten(F.col("question"), F.col("texts")).alias("text"), F.lit(1.0).alias("weight"))
+        rewrites = _gathered(mine).select("qid", agents.rewritten(F.col("question"), F.col("texts")).alias("text"), F.lit(1.0).alias("weight"))
         asked = again.select("qid", "text", F.lit(2.0).alias("weight")).unionByName(rewrites)
         found = durable(fused(asked, units, config).where(F.col("rank") <= rerank_k))
         extra = retrieval.unseen(mine, found).select("qid", "unit_id", F.lit(0.0).alias("score"), F.lit(rerank_k).alias("rank"))
@@ -76,7 +80,7 @@ def corrected(hits: DataFrame, questions: DataFrame, units: DataFrame, config: C
     return hits
 
 
-def iterated(hits: DataFrame, questions: DataFrame, units: DataFrame, config: Config) -> DataFrame:
+def iterated(hits: DataFrame, questions: DataFrame, units: DataFrame, config: Config, agents=models) -> DataFrame:
     """Follow-up searches for what the passages lack; the best new hit of each hop is pinned behind the best of the rest.
 
     A follow-up is searched and reranked as a question of its own; its unseen hits join the old ones, and all are
@@ -89,7 +93,7 @@ def iterated(hits: DataFrame, questions: DataFrame, units: DataFrame, config: Co
     said = None
     live = questions.select("qid")
     for hop in range(1, config.agent.max_hops + 1):
-        wanted = _gathered(hits.join(live, "qid", "left_semi")).select("qid", models.missing_tokens(F.col("question"), F.col("texts")).alias("text")).where("text is not null")
+        wanted = _gathered(hits.join(live, "qid", "left_semi")).select("qid", agents.missing_tokens(F.col("question"), F.col("texts")).alias("text")).where("text is not null")
         wanted = wanted.withColumn("asked", F.lower(F.trim("text")))
         if said is not None:
             wanted = wanted.join(said, ["qid", "asked"], "left_anti")
@@ -110,17 +114,17 @@ def iterated(hits: DataFrame, questions: DataFrame, units: DataFrame, config: Co
     return hits.drop("pinned")
 
 
-def retrieve(questions: DataFrame, units: DataFrame, config: Config) -> DataFrame:
+def retrieve(questions: DataFrame, units: DataFrame, config: Config, agents=models) -> DataFrame:
     """qid, unit_id, score, rank, question, text: the top_k after reranking against the whole question, corrected and iterated as set."""
-    found = candidates(questions, units, config).where(F.col("rank") <= config.retrieval.rerank_k)
+    found = candidates(questions, units, config, agents).where(F.col("rank") <= config.retrieval.rerank_k)
     hits = _reranked(found, questions, units, config)
     crag = config.agent.crag and config.retrieval.reranker
     if crag or config.agent.retrieval_strategy == "iterative":
         hits = durable(hits)
     if crag:
-        hits = corrected(hits, questions, units, config)
+        hits = corrected(hits, questions, units, config, agents)
     if config.agent.retrieval_strategy == "iterative":
-        hits = iterated(hits, questions, units, config)
+        hits = iterated(hits, questions, units, config, agents)
     return hits
 
 
@@ -137,9 +141,10 @@ def _claims(passages: DataFrame, generator, sources: DataFrame, config: Config)
     """qid, pos, text, citations, supported: the claims of a generator's answers, checked against the uncompressed sources."""
     said = passages.withColumn("claims", answers.parse_claims(generator(F.col("question"), F.col("passages")), F.size("passages")))
     claims = said.select("qid", F.posexplode("claims").alias("pos", "c")).select(F.struct("qid", "pos").alias("cid"), "qid", "pos", "c.text", "c.citations")
-    if not (config.agent.verifier and config.retrieval.reranker):
+    scorer = models.verifier_of(config.agent.verifier, config.retrieval.reranker)
+    if scorer is None:
         return claims.withColumn("supported", F.lit(None).cast("boolean")).drop("cid")
-    checked = answers.verify(claims.select("cid", "qid", "text", "citations"), sources.select("qid", "rank", "text"), models.SCORERS["containment"], config.agent.support_threshold)
+    checked = answers.verify(claims.select("cid", "qid", "text", "citations"), sources.select("qid", "rank", "text"), scorer, config.agent.support_threshold)
     return claims.join(checked, "cid").select("qid", "pos", "text", "citations", "supported")
 
 
@@ -150,13 +155,16 @@ def _told(claims: DataFrame) -> DataFrame:
     return claims.groupBy("qid").agg(kept.alias("kept"), F.count("*").alias("n_claims"), good.alias("n_good"), F.coalesce(F.avg(F.col("supported").cast("int")), F.lit(1.0)).alias("support"))
 
 
-def answer(questions: DataFrame, units: DataFrame, config: Config) -> DataFrame:
-    """qid, action, text, n_claims, n_supported, refused for each question."""
+def answer(questions: DataFrame, units: DataFrame, config: Config, agents=models) -> DataFrame:
+    """qid, action, text, n_claims, n_supported, refused for each question.
+
+    agents makes the calls that need a generator: the stand-ins, or `generation.Agents`.
+    """
     a = config.agent
-    action = models.route(F.col("text")) if a.route else F.lit("SEARCH")
+    action = agents.route(F.col("text")) if a.route else F.lit("SEARCH")
     routed = questions.withColumn("action", action)
     searched = routed.where("action = 'SEARCH'").select("qid", "text")
-    hits = retrieve(searched, units, config)
+    hits = retrieve(searched, units, config, agents)
     if a.min_relevance > 0 and config.retrieval.reranker:
         hits = hits.join(retrieval.weak_questions(hits, a.min_relevance).select("qid"), "qid", "left_anti")
     if a.context != "chunk":
@@ -167,11 +175,11 @@ def answer(questions: DataFrame, units: DataFrame, config: Config) -> DataFrame:
         short = answers.compress(hits, retrieval.overlap_scorer, a.compress_sentences)
         shown = hits.drop("text").join(short, ["qid", "unit_id"])
     passages = shown.groupBy("qid", "question").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("passages"))
-    told = _told(_claims(passages, models.extractive_answer, hits, config))
+    told = _told(_claims(passages, agents.extractive_answer, hits, config))
     if a.self_correct:
         told = durable(told)
         weak = told.where(F.col("support") < a.self_correct_below).select("qid", F.col("n_good").alias("before"))
-        retry = _told(_claims(passages.join(weak, "qid", "left_semi"), models.corrected_answer, hits, config))
+        retry = _told(_claims(passages.join(weak, "qid", "left_semi"), agents.corrected_answer, hits, config))
         better = durable(retry.join(weak, "qid").where(F.col("n_good") > F.col("before")).drop("before"))
         told = told.join(better, "qid", "left_anti").unionByName(better)
     cited = F.transform("kept", lambda c: F.concat(c["text"], F.array_join(F.transform(c["citations"], lambda i: F.concat(F.lit(" ["), i.cast("string"), F.lit("]"))), "")))
@@ -184,12 +192,46 @@ def answer(questions: DataFrame, units: DataFrame, config: Config) -> DataFrame:
     )
 
 
-def ablate(variants: dict[str, list[str]], questions: DataFrame, units: DataFrame) -> DataFrame:
-    """The answers of each variant (dotted overrides) over the same questions."""
+class Timings:
+    """Seconds of named steps, summed; steps that only declare a plan cost what their action does."""
+
+    def __init__(self) -> None:
+        self.seconds: dict[str, float] = {}
+
+    @contextmanager
+    def step(self, name: str) -> Iterator[None]:
+        began = time.perf_counter()
+        try:
+            yield
+        finally:
+            self.seconds[name] = self.seconds.get(name, 0.0) + time.perf_counter() - began
+
+
+def ablate(variants: dict[str, list[str]], questions: DataFrame, units: DataFrame, out: str | None = None, resume: bool = False, agents=models) -> DataFrame:
+    """The answers of each variant (dotted overrides) over the same questions.
+
+    out: a folder that takes each variant's answers as its own partition; resume leaves out those that are there.
+    """
     from candela.config import load_config
 
-    parts = [answer(questions, units, load_config(overrides=o)).withColumn("variant", F.lit(name)) for name, o in variants.items()]
-    out = parts[0]
+    spark = questions.sparkSession
+    parts = []
+    for name, overrides in variants.items():
+        if out and resume and _exists(spark, f"{out}/variant={name}/_SUCCESS"):
+            continue
+        part = answer(questions, units, load_config(overrides=overrides), agents)
+        if out:
+            part.write.mode("overwrite").parquet(f"{out}/variant={name}")
+        else:
+            parts.append(part.withColumn("variant", F.lit(name)))
+    if out:
+        return spark.read.parquet(out)
+    whole = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        whole = whole.unionByName(p)
+    return whole
+
+
+def _exists(spark, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

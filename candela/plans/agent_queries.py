@@ -67,12 +67,12 @@ def counts_by_kind(spark, d):
 
 
 JUDGED = """j AS (SELECT conv_id, conv_id % 7 AS variant, conv_id % 2 = 0 AS answerable, conv_id % 3 = 0 AS insufficient, CASE WHEN conv_id % 5 = 0 THEN 'ANSWER_DIRECTLY' ELSE 'SEARCH' END AS action,
-    CASE conv_id % 4 WHEN 0 THEN ' Correct' WHEN 1 THEN 'partially' WHEN 2 THEN 'INCORRECT ' ELSE 'unclear' END AS verdict FROM (SELECT DISTINCT conv_id FROM conversations))"""
+    CASE conv_id % 4 WHEN 0 THEN ' Correct' WHEN 1 THEN 'partially_correct' WHEN 2 THEN 'INCORRECT ' ELSE 'unclear' END AS verdict FROM (SELECT DISTINCT conv_id FROM conversations))"""
 
 
 def _judged(spark, d):
     c = F.col("conv_id")
-    verdict = F.when(c % 4 == 0, " Correct").when(c % 4 == 1, "partially").when(c % 4 == 2, "INCORRECT ").otherwise("unclear")
+    verdict = F.when(c % 4 == 0, " Correct").when(c % 4 == 1, "partially_correct").when(c % 4 == 2, "INCORRECT ").otherwise("unclear")
     return tables.table(spark, d, "conversations").select("conv_id").distinct().select(
         "conv_id", (c % 7).alias("variant"), (c % 2 == 0).alias("answerable"), (c % 3 == 0).alias("insufficient"), F.when(c % 5 == 0, "ANSWER_DIRECTLY").otherwise("SEARCH").alias("action"), verdict.alias("verdict"),
     )
@@ -84,7 +84,7 @@ def refusal_rates(spark, d):
     return evaluate.refusal_rates(_judged(spark, d), "variant").select("variant", *[F.round(c, 6).alias(c) for c in ("false_refusal", "unanswerable_refusal")])
 
 
-@query(f"WITH {JUDGED} SELECT variant, count(*) AS n, round(avg(CASE lower(trim(verdict)) WHEN 'correct' THEN 1.0 WHEN 'partially' THEN 0.5 WHEN 'incorrect' THEN 0.0 END), 6) AS correctness FROM j GROUP BY variant")
+@query(f"WITH {JUDGED} SELECT variant, count(*) AS n, round(avg(CASE lower(trim(verdict)) WHEN 'correct' THEN 1.0 WHEN 'partially_correct' THEN 0.5 WHEN 'incorrect' THEN 0.0 END), 6) AS correctness FROM j GROUP BY variant")
 def judge_scores(spark, d):
     return _judged(spark, d).groupBy("variant").agg(F.count("*").alias("n"), F.round(F.avg(evaluate.verdict_score(F.col("verdict"))), 6).alias("correctness"))
 

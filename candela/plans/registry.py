@@ -113,13 +113,6 @@ def refusal_filter(spark, d):
     return tables.table(spark, d, "conversations").select("conv_id", "turn", T.is_refusal(F.col("text")).alias("refusal"), T.says_nothing_missing(F.col("text")).alias("nothing"))
 
 
-@query("SELECT conv_id, turn, 'conv ' || conv_id AS source, turn AS page, text FROM conversations WHERE text = trim(text) AND text NOT LIKE '%[Source%'")
-def citation_tags(spark, d):
-    tagged = tables.table(spark, d, "conversations").where("text = trim(text) and not contains(text, '[Source')").withColumn("t", F.concat("text", F.lit(" [Source: conv "), F.col("conv_id").cast("string"), F.lit(", Page: "), F.col("turn").cast("string"), F.lit("]")))
-    tag = F.get(T.citation_tags(F.col("t")), F.lit(0))
-    return tagged.select("conv_id", "turn", tag["source"].alias("source"), tag["page"].cast("long").alias("page"), T.without_tags(F.col("t")).alias("text"))
-
-
 # Retrieval
 
 @query(f"WITH {BM25} SELECT qid, unit_id, round(score, 6) AS score, rank FROM bm")
@@ -250,11 +243,6 @@ def heading_paths(spark, d):
     return layout.section_paths(layout.heading_levels(_styled(spark, d)), 3).select("source", "ord", "section")
 
 
-@query()
-def html_blocks(spark, d):
-    return tables.html_blocks(tables.table(spark, d, "pages").select("page_id", "html"))
-
-
 @query()
 def split_text_pieces(spark, d):
     return chunking.text_pieces(tables.units(spark, d))
@@ -401,11 +389,6 @@ def limit_per_type(spark, d):
     return evaluate.limit_per_type(tables.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("type")), 5)
 
 
-@query()
-def round_robin_sample(spark, d):
-    return evaluate.round_robin(tables.table(spark, d, "documents").select("source", F.col("doc_id").alias("id")), 50)
-
-
 @query("""WITH s AS (SELECT q.vec_id AS qid, v.vec_id AS unit_id, list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::DOUBLE * v.embedding[i]::DOUBLE)) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0),
     k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, unit_id) <= 40)
     SELECT qid, unit_id, round(score, 6) AS score FROM k WHERE score BETWEEN 0.2 AND 0.45 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, unit_id) = 1""")
