@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -10,6 +9,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candela.session import shared_dir
+
 #: ASCII white space, the only word separator of this subpackage. ``bytes.split()`` cuts at the same six bytes.
 WS = r"[\x20\x09-\x0D]+"
 
@@ -21,14 +22,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where none is set, as in tests."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("candela"))
-    return context.getCheckpointDir()
-
-
 #: Rows of an Arrow batch while tables are cut: documents may be long, so batches of whole texts must be short.
 BATCH_ROWS = 256
 
@@ -46,14 +39,14 @@ def _short_batches(spark: SparkSession) -> Iterator[None]:
 
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage by a checkpoint in the shared folder, so that a lost executor costs no earlier stage."""
-    _shared_dir(df.sparkSession)
+    shared_dir(df.sparkSession)
     with _short_batches(df.sparkSession):
         return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """As durable(), as a compressed table whose columns can be read apart. Returns its path too, for discard()."""
-    path = f"{_shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     with _short_batches(df.sparkSession):
         df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path

@@ -25,24 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candela.llm.common import durable, text_or_empty
+from candela.llm.license_texts import NOTICES, TEXTS
 from candela.llm.substring_dedup import gram_hashes
 
 SHINGLE, CONTAINMENT, MISS = 5, 0.8, 1e-4
 BLOCK_BYTES = 1 << 20
 
-#: License notices as they are commonly worded: (license, text).
-TEMPLATES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-]
+#: What is searched for: notices, then whole texts.
+TEMPLATES = NOTICES + TEXTS
 
 _EDGE = re.compile(rb"^[^\w\x80-\xff]+|[^\w\x80-\xff]+$")
 

@@ -4,8 +4,8 @@ Shallow trees are grown on random parts of a bounded labelled sample. Every path
 rule; a logistic model with an L1 penalty weighs the rules and drops most. What is left is one Spark expression over
 the statistics, so scoring all documents runs in the JVM without Python.
 
-Fitting uses at most `sample_rows` labelled rows (a documented bound), chosen by a hash of doc_id. Everything else
-covers all rows.
+Fitting uses the texts of at most `sample_rows` labelled doc_ids (a documented bound), chosen by a hash of doc_id, and
+at most twice as many rows where texts share a doc_id. Everything else covers all rows.
 
 Cases: null text counts as empty and gets a score like any text. Labels that are null are ignored; a doc_id labelled
 more than once counts by its smallest label. With no usable label, or labels of one kind only, the score is the

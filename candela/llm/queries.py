@@ -89,6 +89,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _WS = r"[\x20\x09-\x0D]+"
 
+def _license_sql() -> str:
+    """Every place where a template's five-word shingles stand, and the exact containment within twice a template's window from there."""
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    width = {t: w for w, ts in scanner.by_width.items() for t in ts}
+    rows = ", ".join(f"({t}, '{name}', {2 * width[t]}, {len(shingles)}, '{' '.join(x.decode() for x in g).replace(chr(39), chr(39) * 2)}')" for t, (name, _, shingles, _) in enumerate(scanner.templates) for g in sorted(shingles))
+    return rf"""
+        WITH x(template, license, span, n, shingle) AS (VALUES {rows}),
+        d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WS}'), lambda x: x <> '') AS w FROM documents),
+        e AS (SELECT doc_id, list_transform(w, lambda x: coalesce(nullif(regexp_replace(regexp_replace(x, '^[^0-9A-Za-z_\x{{80}}-\x{{10FFFF}}]+', ''), '[^0-9A-Za-z_\x{{80}}-\x{{10FFFF}}]+$', ''), ''), x)) AS w FROM d),
+        g AS (SELECT doc_id, unnest(generate_series(1, len(w) - 4)) AS i, w FROM e),
+        h AS (SELECT doc_id, i - 1 AS pos, template, license, span, n, shingle FROM (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS shingle FROM g) JOIN x USING (shingle)),
+        c AS (SELECT a.doc_id, a.template, a.license, a.pos, a.n, count(DISTINCT b.shingle) AS found FROM h a JOIN h b ON b.doc_id = a.doc_id AND b.template = a.template AND b.pos >= a.pos AND b.pos < a.pos + a.span GROUP BY ALL)
+        SELECT doc_id, license, template, found / n AS containment, pos AS first_word FROM c WHERE found / n >= {license_scan.CONTAINMENT}
+        QUALIFY row_number() OVER (PARTITION BY doc_id, template ORDER BY found DESC, pos) = 1"""
+
+
 def _url_sql() -> str:
     """The tree of templates in SQL; one pair of tables for each level that tells templates apart."""
     u = url_filters
@@ -155,6 +171,7 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, len(d.w) AS n_words, coalesce(s.n_removed, 0) AS n_removed, sha256(coalesce(s.kept, '')) AS kept_sha256
         FROM d LEFT JOIN s USING (doc_id)""",
     "op4_url_filters": _url_sql(),
+    "op9_license_scan": _license_sql(),
     "op6_quality_rules": rf"""
         WITH d AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '{_WS}'), lambda x: x <> '') AS w,
                           list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l

@@ -1,6 +1,6 @@
 """Mixing sources to target weights by temperature, in DataFrame functions only.
 
-A source's share of the tokens is raised to an exponent and normalised. The exponent is found by repeated section of
+A token is a word here. A source's share of the tokens is raised to an exponent and normalised. The exponent is found by repeated section of
 [0, 1] (each round evaluates a grid of exponents in one grouped sum and keeps the bracket) so that the mixture is the
 flattest whose most repeated source stays within the repetition limit, or the one that meets a target entropy. The
 token budget is the largest under which the least repeated source is seen exactly once, so no document is dropped;

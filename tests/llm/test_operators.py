@@ -124,6 +124,34 @@ def test_classifier_is_accurate_on_held_out_rows(spark, tricky, empty):
     assert quality_classifier.score(empty, model).count() == 0
 
 
+def text_statistics(text):
+    w, lines = words(text), [x for x in text.split("\n") if x]
+    per = lambda a, b: a / b if b else 0.0
+    n, chars = len(w), len(text)
+    return {
+        "n_words": float(n), "word_length": per(sum(map(len, w)), n), "symbols": per(len(re.findall(r"[#*$%&|<>]", text)), n), "capitals": per(sum(c.isupper() and len(c.encode("utf-16-le")) >= 2 and __import__("unicodedata").category(c) == "Lu" for c in text), chars),
+        "punctuation": per(len(re.findall(r"[.,;:!?]", text)), n), "digits": per(len(re.findall(r"[0-9]", text)), chars), "distinct_words": per(len(set(w)), n), "stutter": per(sum(a == b for a, b in zip(w, w[1:])), n),
+        "line_words": per(n, len(lines)), "repeated_lines": per(len(lines) - len(set(lines)), len(lines)), "bars": per(text.count("|"), n), "shouts": per(text.count("!"), n),
+    }
+
+
+def test_scores_equal_the_rules_by_brute_force(spark, tricky, rows_of):
+    rng = np.random.default_rng(4)
+    stats = [text_statistics(t or "") for _, t in rows_of]
+    rules = []
+    for _ in range(40):
+        chosen = rng.choice(len(quality_classifier.FEATURES), 3, replace=False)
+        cut = lambda f: float(np.quantile([s[f] for s in stats], rng.random()))
+        rules.append((float(rng.normal()), tuple((quality_classifier.FEATURES[f], bool(rng.integers(0, 2)), cut(quality_classifier.FEATURES[f])) for f in chosen)))
+    model = quality_classifier.Model(-0.3, tuple(rules))
+    want = Counter()
+    for (i, _), s in zip(rows_of, stats, strict=True):
+        total = -0.3 + sum(w for w, c in rules if all(s[f] > t if above else s[f] <= t for f, above, t in c))
+        score = 1 / (1 + np.exp(-total))
+        want[i, zlib.crc32(("" if i is None else str(i)).encode()) % 4 == 2, round(score, 9), int(score >= 0.7)] += 1
+    assert Counter((r["doc_id"], r["held_out"], round(r["score"], 9), r["predicted"]) for r in quality_classifier.score(tricky, model).collect()) == want
+
+
 # 4
 
 RULES = [url_filters.UrlRule("block", "net", "/"), url_filters.UrlRule("allow", "example.net", "/en/"), url_filters.UrlRule("block", "bad.org", "/x/")]
@@ -419,6 +447,28 @@ def test_license_scan(spark, tricky, empty):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+def test_places_equal_exhaustive_containment(spark):
+    """Every template with none, some and too many words changed, between filler, against all windows."""
+    rng = np.random.default_rng(8)
+    rows, want = [], set()
+    for t, (_, text) in enumerate(license_scan.TEMPLATES):
+        for changed in (0, 1, 2, 9):
+            w = text.split()
+            for at in rng.choice(len(w), min(changed, len(w)), replace=False):
+                w[at] = f"other{rng.integers(0, 1 << 30)}"
+            rows.append((len(rows), " ".join([*(f"a{k}" for k in range(rng.integers(0, 400))), *w, *(f"b{k}" for k in range(rng.integers(0, 400)))])))
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    for i, text in rows:
+        w = license_scan.normal_words(text.encode())
+        grams = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+        for t, (_, _, shingles, _) in enumerate(scanner.templates):
+            share = len(set(grams) & shingles) / len(shingles)  # fillers hold none, so all windows are one
+            if share >= 0.8:
+                want.add((i, t, round(share, 9), next(k for k, g in enumerate(grams) if g in shingles)))
+    got = {(r["doc_id"], r["template"], round(r["containment"], 9), r["first_word"]) for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and len({t for _, t, *_ in want}) == len(license_scan.TEMPLATES)
+
+
 def test_bands_keep_the_promised_probability():
     scanner = license_scan.Scanner(license_scan.TEMPLATES)
     for _, _, shingles, _ in scanner.templates:
@@ -446,6 +496,39 @@ def test_mixing(spark, tricky, empty):
     assert source_mixing.mix(empty).count() == 0 and source_mixing.schedule(empty).count() == 0
 
 
+def test_schedule_equals_brute_force(spark):
+    """The copies of each row: whole epochs, then rows in the order of their hashes while the quota lasts."""
+    import struct
+
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 40))), ["a", "a", "a", "a", "b", "b", "c", None][i % 8]) for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    tokens = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in ("a", "b", "c", None)}
+    a = source_mixing.exponent(spark.createDataFrame([(str(k), v) for k, v in tokens.items()], "source string, tokens long"), 2.0)
+    top, z = max(tokens.values()), sum(v**a for v in tokens.values())
+
+    def xx(*values):
+        h = 42
+        for v in values:
+            h = xxhash.xxh64_intdigest(struct.pack("<i", v[1]) if v[0] == "int" else struct.pack("<q", v[1]), h)
+        return h - (1 << 64) if h >> 63 else h
+
+    want = Counter()
+    for s, total in tokens.items():
+        quota = max(total, int(total**a / z * (top ** (1 - a) * z)))
+        full, rest = quota // total, quota % total
+        mine = [(i, len(t.split())) for i, t, x in rows if x == s]
+        for i, _ in mine:
+            want.update((i, e) for e in range(full))
+        held = 0
+        for _, i, n in sorted((xx(("int", 11), ("long", full), ("long", i), ("long", n)), i, n) for i, n in mine):
+            held += n
+            if held > rest:
+                break
+            want[i, full] += 1
+    assert Counter((r["doc_id"], r["epoch"]) for r in source_mixing.schedule(df, max_epochs=2.0).collect()) == want
+
+
 def test_exponents_meet_their_targets(spark):
     shares = spark.createDataFrame([("a", 1000), ("b", 100), ("c", 10)], "source string, tokens long")
     a = source_mixing.exponent(shares, max_epochs=4.0)
