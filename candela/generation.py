@@ -108,8 +108,8 @@ class Agents:
         return F.coalesce(distinct_queries(question, queries, most), F.array().cast("array<string>"))
 
     def missing_tokens(self, question: Column, texts: Column) -> Column:
-        out = self.generate(prompts.next_search(question, texts), prompts.NEXT, 150, 0.0)
-        return follow_up_query(question, F.get_json_object(out, "$.missing"), F.get_json_object(out, "$.query"))
+        said = F.from_json(self.generate(prompts.next_search(question, texts), prompts.NEXT, 150, 0.0), "missing string, query string")
+        return let(said, lambda s: follow_up_query(question, s["missing"], s["query"]))
 
     def rewritten(self, question: Column, texts: Column, sections: Column | None = None) -> Column:
         seen = F.lit("") if sections is None else prompts.sections_seen(sections)
@@ -136,12 +136,20 @@ class Agents:
         return F.trim(self.generate(prompts.situate(excerpt, passage), None, 100, 0.0))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often use names it: a generator's answer is no plain expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def distinct_queries(question: Column, queries: Column, most: int) -> Column:
     """Queries but for the question itself and repeats, in any case and with any outer blanks; at most `most`."""
     plain = lambda q: F.lower(F.trim(q))
-    numbered = F.transform(queries, lambda q, i: F.struct(plain(q).alias("key"), i.alias("at"), F.trim(q).alias("q")))
-    first = F.filter(numbered, lambda x: (x["key"] != "") & (x["key"] != plain(question)) & (F.array_position(F.transform(queries, plain), x["key"]) == x["at"] + 1))
-    return F.slice(F.transform(first, lambda x: x["q"]), 1, most)
+
+    def fold(kept: Column, q: Column) -> Column:
+        known = (plain(q) == "") | (plain(q) == plain(question)) | F.exists(kept, lambda k: plain(k) == plain(q))
+        return F.when(known | (F.size(kept) >= most), kept).otherwise(F.concat(kept, F.array(F.trim(q))))
+
+    return F.aggregate(queries, F.array().cast("array<string>"), fold)
 
 
 def follow_up_query(question: Column, missing: Column, query: Column) -> Column:
@@ -167,8 +175,8 @@ class Judge:
         cited = F.filter(claims, lambda c: F.size(c["citations"]) > 0)
         out = self.generate(prompts.faithfulness(cited), prompts.SUPPORTED, 300, 0.0)
         votes = F.from_json(F.get_json_object(out, "$.supported"), "array<boolean>")
-        good = F.size(F.filter(F.slice(votes, 1, 1_000_000), lambda v: v))
-        return F.when(F.size(claims) > 0, F.when(F.size(cited) == 0, 0.0).otherwise(F.when(F.size(votes) == F.size(cited), good / F.size(claims))))
+        share = let(votes, lambda v: F.when(F.size(v) == F.size(cited), F.size(F.filter(v, lambda x: x)) / F.size(claims)))
+        return F.when(F.size(claims) > 0, F.when(F.size(cited) == 0, 0.0).otherwise(share))
 
     def answered(self, question: Column, texts: Column) -> Column:
         return F.get_json_object(self.generate(prompts.answered(question, texts), prompts.ANSWERED, 20, 0.0), "$.answered")

@@ -153,8 +153,8 @@ def refusal_rates(rows: DataFrame, by: str) -> DataFrame:
 
 def verdict_score(verdict: Column) -> Column:
     """A judge's verdict as 1, 0.5 or 0; null for any other word."""
-    word = F.lower(F.trim(verdict))
-    return F.when(word == "correct", 1.0).when(word == "partially_correct", 0.5).when(word == "incorrect", 0.0)
+    scores = F.create_map(F.lit("correct"), F.lit(1.0), F.lit("partially_correct"), F.lit(0.5), F.lit("incorrect"), F.lit(0.0))
+    return F.try_element_at(scores, F.lower(F.trim(verdict)))
 
 
 def usable_questions(rows: DataFrame) -> DataFrame:

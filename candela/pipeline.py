@@ -139,7 +139,7 @@ def _expanded(hits: DataFrame, units: DataFrame, config: Config) -> DataFrame:
 
 def _claims(passages: DataFrame, generator, sources: DataFrame, config: Config) -> DataFrame:
     """qid, pos, text, citations, supported: the claims of a generator's answers, checked against the uncompressed sources."""
-    said = passages.withColumn("claims", answers.parse_claims(generator(F.col("question"), F.col("passages")), F.size("passages")))
+    said = passages.withColumn("said", generator(F.col("question"), F.col("passages"))).withColumn("claims", answers.parse_claims(F.col("said"), F.size("passages")))
     claims = said.select("qid", F.posexplode("claims").alias("pos", "c")).select(F.struct("qid", "pos").alias("cid"), "qid", "pos", "c.text", "c.citations")
     scorer = models.verifier_of(config.agent.verifier, config.retrieval.reranker)
     if scorer is None:

@@ -221,7 +221,8 @@ def generated_claims(spark, d):
     """Claims of a scripted generator: cut answers are asked for again, and those never whole give none."""
     agents = generation.Agents(generation.Generator(lambda: _scripted_claims))
     asked = tables.questions(spark, d).withColumn("passages", F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(f"passage {i}").alias("text")) for i in (1, 2)]))
-    claims = answers.parse_claims(agents.grounded(F.col("text"), F.col("passages")), F.size("passages"))
+    asked = asked.withColumn("said", agents.grounded(F.col("text"), F.col("passages")))
+    claims = answers.parse_claims(F.col("said"), F.size("passages"))
     told = F.array_join(F.transform(claims, lambda c: F.concat(c["text"], F.lit(" ["), F.array_join(F.transform(c["citations"], lambda i: i.cast("string")), ","), F.lit("]"))), " ")
     return asked.select("qid", F.when(claims.isNotNull(), F.size(claims)).alias("n_claims"), told.alias("told"))
 

@@ -1,7 +1,9 @@
 """Context expansion, span merging and the answering loop against plain Python."""
 
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,18 +12,27 @@ from candela.config import load_config
 from candela.operators import answers, evaluate, retrieval
 
 
-def grown(chunks, at, most, steps):
-    """What expansion should give for the chunk at position `at` of its source's list."""
-    lo = hi = at
-    size = len(chunks[at][3])
-    for _ in range(steps if steps is not None else len(chunks)):
-        before = (lo, hi)
-        for c in (lo - 1, hi + 1):
-            if 0 <= c < len(chunks) and chunks[c][2] == chunks[at][2] and size + len(chunks[c][3]) <= most:
-                size, lo, hi = size + len(chunks[c][3]), min(lo, c), max(hi, c)
-        if (lo, hi) == before:
+def allowed(chunks, at, most, steps):
+    """The interval that the rule allows, by enumeration: intervals are states (before, after), and a state's next one is tried from it.
+
+    A step takes the chunk before if it is of the run and fits, then the one after if it fits on top; growth ends with
+    the step that takes neither.
+    """
+    section = chunks[at][2]
+    before = next((k for k in range(at + 1) if all(c[2] == section for c in chunks[k : at + 1])), at)
+    after = max(k for k in range(at, len(chunks)) if all(c[2] == section for c in chunks[at : k + 1]))
+    width = lambda lo, hi: sum(len(c[3]) for c in chunks[lo : hi + 1])
+    states = [(at, at)]
+    while steps is None or len(states) <= steps:
+        lo, hi = states[-1]
+        lo2 = lo - 1 if lo > before and width(lo - 1, hi) <= most else lo
+        hi2 = hi + 1 if hi < after and width(lo2, hi + 1) <= most else hi
+        if (lo2, hi2) == (lo, hi):
             break
-    return "\n".join(c[3] for c in chunks[lo : hi + 1]), min(c[4] for c in chunks[lo : hi + 1]), max(c[4] for c in chunks[lo : hi + 1])
+        states.append((lo2, hi2))
+    lo, hi = states[-1]
+    pages = [c[4] for c in chunks[lo : hi + 1]]
+    return "\n".join(c[3] for c in chunks[lo : hi + 1]), min(pages), max(pages)
 
 
 @pytest.mark.parametrize("steps", [None, 1, 3])
@@ -33,7 +44,16 @@ def test_expansion(spark, steps):
     for s in range(3):
         mine = [r for r in rows if r[1] == f"s{s}"]
         for i, r in enumerate(mine):
-            assert got[r[0]] == grown(mine, i, 45, steps), r
+            assert got[r[0]] == allowed(mine, i, 45, steps), r
+
+
+def test_expansion_of_some_chunks_equals_that_of_all(spark):
+    rng = random.Random(4)
+    rows = [(s * 100 + i, f"s{s}", rng.choice("AAB"), s * 100 + i, "x" * rng.choice([1, 5, 9]), i // 3) for s in range(3) for i in range(40)]
+    df = spark.createDataFrame(rows, "unit_id int, source string, section string, ord int, text string, page int")
+    some = spark.createDataFrame([(3,), (3,), (117,), (239,), (None,)], "unit_id int")
+    whole = {tuple(r) for r in answers.expand(df, 45).where("unit_id in (3, 117, 239)").collect()}
+    assert {tuple(r) for r in answers.expand(df, 45, only=some).collect()} == whole
 
 
 def test_merged_spans_skip_what_an_earlier_span_holds(spark):
@@ -69,15 +89,58 @@ def test_dense_equals_brute_force(spark, small):
             assert abs(got[r["qid"], u] - sum(a * b for a, b in zip(r["vec"], v, strict=True))) < 1e-9
 
 
-def test_iteration_pins_new_hits(spark, small):
-    asked, units = small
-    config = load_config(overrides=["retrieval.mode=sparse", "retrieval.top_k=1", "retrieval.fetch_k=1", "retrieval.rerank_k=1", "agent.decompose=false", "agent.retrieval_strategy=iterative", "agent.max_hops=2"])
-    got = sorted((r["qid"], r["rank"], r["unit_id"]) for r in pipeline.retrieve(asked.where("qid = 2"), units, config).collect())
-    # The shorter unit 3 ranks first and lacks "delta": unit 2 is pinned and takes its place, then 3 is pinned for "theta".
-    assert got == [(2, 1, 2), (2, 2, 3)]
-    wide = load_config(overrides=["retrieval.mode=sparse", "retrieval.top_k=2", "retrieval.fetch_k=1", "retrieval.rerank_k=1", "agent.decompose=false", "agent.retrieval_strategy=iterative"])
-    hits = pipeline.retrieve(asked.where("qid = 2"), units, wide).orderBy("rank").collect()
-    assert [r["unit_id"] for r in hits][-1] in (2, 3) and len({r["unit_id"] for r in hits}) == len(hits) == 2
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
+
+
+@pytest.mark.parametrize("reranker", ["overlap", "null"])
+def test_iteration_by_plain_loops(spark, reranker):
+    """Each question alone, with searches of its own over the same small table."""
+    rng = random.Random(9)
+    texts = {i: " ".join(rng.choices(WORDS, k=rng.randint(1, 2))) for i in range(25)}
+    asked = {q: " ".join(rng.sample(WORDS, 9)) for q in range(6)}
+    units = spark.createDataFrame(list(texts.items()), "unit_id int, text string")
+    config = load_config(overrides=["retrieval.mode=sparse", "retrieval.top_k=3", "retrieval.fetch_k=6", "retrieval.rerank_k=4", "agent.decompose=false", "agent.retrieval_strategy=iterative", "agent.max_hops=3", f"retrieval.reranker={reranker}"])
+
+    def score(question, unit):
+        a, b = set(question.split()), set(texts[unit].split())
+        return len(a & b) / len(a | b)
+
+    def search(questions):
+        """The reranked top three of each, as the engine's own single search gives them."""
+        df = spark.createDataFrame(list(questions.items()), "qid int, text string")
+        once = load_config(overrides=["retrieval.mode=sparse", "retrieval.top_k=3", "retrieval.fetch_k=6", "retrieval.rerank_k=4", "agent.decompose=false", f"retrieval.reranker={reranker}"])
+        out: dict = {}
+        for r in sorted(pipeline.retrieve(df, units, once).collect(), key=lambda r: r["rank"]):
+            out.setdefault(r["qid"], []).append(r["unit_id"])
+        return out
+
+    hits = {q: list(h) for q, h in search(asked).items()}
+    pins: dict = {q: [] for q in asked}
+    said: dict = {q: set() for q in asked}
+    live = set(asked)
+    for _ in range(3):
+        wanted = {}
+        for q in live:
+            left = [w for w in asked[q].split() if not any(w in texts[u].split() for u in hits[q])]
+            if left and " ".join(left) not in said[q]:
+                wanted[q] = " ".join(left)
+                said[q].add(wanted[q])
+        found, live = search(wanted) if wanted else {}, set()
+        for q, ranked in found.items():
+            new = [u for u in ranked if u not in hits[q]]
+            if not new:
+                continue
+            live.add(q)
+            pins[q].append(new[0])
+            pool = hits[q] + new
+            if reranker != "null":
+                pool = sorted(pool, key=lambda u: (-round(score(asked[q], u), 9), u))
+            hits[q] = [u for u in pool if u not in pins[q]][: 3 - len(pins[q])] + pins[q]
+    df = spark.createDataFrame(list(asked.items()), "qid int, text string")
+    got: dict = {}
+    for r in sorted(pipeline.retrieve(df, units, config).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["qid"], []).append(r["unit_id"])
+    assert got == hits and any(pins.values())
 
 
 def test_answer_routes_refuses_and_corrects(spark, small):
@@ -108,3 +171,44 @@ def test_round_robin_takes_whole_rounds(spark):
     items = spark.createDataFrame(rows, "source string, id int")
     assert evaluate.round_robin(items, 2).count() == 5  # 3 + 2: the third round begins at 5, beyond 4
     assert evaluate.round_robin(items, 1200).count() == 2400
+
+
+def test_late_interaction_by_brute_force(spark):
+    rows = [("pump seal", "the seal, of a pump."), ("pump seal", ""), ("", "valve"), ("a b c", "x " * 400)]
+    got = spark.createDataFrame(rows, "q string, t string").coalesce(1).select(models.late_interaction_scorer("q", "t").alias("s")).collect()
+    for r, (q, t) in zip(got, rows, strict=True):
+        a, b = models.token_matrix(q, True), models.token_matrix(t, False)
+        assert len(b) <= models.TEXT_TOKENS and abs(np.linalg.norm(b, axis=1) - 1).max() < 1e-9
+        assert abs(r["s"] - sum(max(float(x @ y) for y in b) for x in a)) < 1e-9
+
+
+def test_entailment_takes_the_passage_as_premise(spark):
+    def load():
+        return lambda pairs: [[float(len(premise)), float(len(hypothesis)), 0.0] for premise, hypothesis in pairs]
+
+    scorer = models.entailment_scorer(load, 0)
+    row = spark.createDataFrame([("ab", "abcd")], "claim string, passage string").select(scorer(F.col("claim"), F.col("passage")).alias("s")).first()
+    assert abs(row["s"] - math.exp(4) / (math.exp(4) + math.exp(2) + 1)) < 1e-9
+
+
+def test_verifier_follows_the_reranker():
+    assert models.verifier_of("reranker", "overlap") is models.SCORERS["overlap"] and models.verifier_of("containment", None) is models.SCORERS["containment"]
+    assert models.verifier_of("reranker", None) is None and models.verifier_of(None, "overlap") is None
+
+
+def test_ablation_resumes(spark, small, tmp_path, monkeypatch):
+    asked, units = small
+    ran, answer = [], pipeline.answer
+    monkeypatch.setattr(pipeline, "answer", lambda *a: ran.append(1) or answer(*a))
+    variants = {"one": ["retrieval.mode=sparse"], "two": ["retrieval.mode=sparse", "agent.decompose=false"]}
+    first = pipeline.ablate({"one": variants["one"]}, asked, units, str(tmp_path), True)
+    both = pipeline.ablate(variants, asked, units, str(tmp_path), True)
+    assert len(ran) == 2 and first.columns == both.columns and {r["variant"] for r in both.collect()} == {"one", "two"}
+
+
+def test_steps_are_timed():
+    t = pipeline.Timings()
+    for name in ("a", "b", "a"):
+        with t.step(name):
+            pass
+    assert list(t.seconds) == ["a", "b"] and all(s >= 0 for s in t.seconds.values())
