@@ -33,15 +33,31 @@ def expand_window(spark, d):
     return answers.expand(_chunks(spark, d), 4000, 2).select("unit_id", F.sha2("big", 256).alias("sha"))
 
 
-@query()
+SPANS = """ck AS (SELECT doc_id AS unit_id, coalesce(source, '') AS source, coalesce(lang, '') AS section, coalesce(text, '') AS text, length(coalesce(text, '')) AS s, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY doc_id) AS p FROM documents),
+    rn AS (SELECT *, sum(turn) OVER (PARTITION BY source ORDER BY p) AS run FROM (SELECT *, CASE WHEN section IS DISTINCT FROM lag(section) OVER (PARTITION BY source ORDER BY p) THEN 1 ELSE 0 END AS turn FROM ck)),
+    gw AS (SELECT unit_id, source, run, p AS lo, p AS hi, s AS used, true AS moved FROM rn
+        UNION ALL
+        SELECT unit_id, source, run, lo - tb::INT, hi + ta::INT, used + CASE WHEN tb THEN bs ELSE 0 END + CASE WHEN ta THEN au ELSE 0 END, tb OR ta
+        FROM (SELECT g.*, b.s AS bs, a.s AS au, coalesce(g.used + b.s <= 4000, false) AS tb, coalesce(g.used + CASE WHEN coalesce(g.used + b.s <= 4000, false) THEN b.s ELSE 0 END + a.s <= 4000, false) AS ta
+              FROM gw g LEFT JOIN rn b ON b.source = g.source AND b.run = g.run AND b.p = g.lo - 1 LEFT JOIN rn a ON a.source = g.source AND a.run = g.run AND a.p = g.hi + 1 WHERE g.moved)),
+    gs AS (SELECT g.unit_id, string_agg(c.text, chr(10) ORDER BY c.p) AS big, min(c.unit_id) AS page, max(c.unit_id) AS page_end FROM (SELECT unit_id, source, lo, hi FROM gw WHERE NOT moved) g JOIN rn c ON c.source = g.source AND c.p BETWEEN g.lo AND g.hi GROUP BY g.unit_id)"""
+
+
+@query(f"WITH RECURSIVE {SPANS} SELECT unit_id, page, page_end, sha256(big) AS sha FROM gs")
 def expand_section(spark, d):
     return answers.expand(_chunks(spark, d), 4000).select("unit_id", "page", "page_end", F.sha2("big", 256).alias("sha"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {RERANK}, {SPANS}, ht AS (SELECT qid, rank, re.unit_id, ck.source, ck.section, ck.text, gs.big, gs.page, gs.page_end FROM re JOIN ck USING (unit_id) JOIN gs USING (unit_id)),
+    ms AS (SELECT qid, 0::BIGINT AS i, []::STRUCT(u BIGINT, s VARCHAR, c VARCHAR, b VARCHAR, p BIGINT, e BIGINT)[] AS kept FROM (SELECT DISTINCT qid FROM ht)
+        UNION ALL
+        SELECT m.qid, h.rank, CASE WHEN len(list_filter(m.kept, lambda k: k.s = h.source AND k.c = h.section AND h.unit_id >= k.p AND h.unit_id <= k.e AND contains(k.b, h.text))) > 0 THEN m.kept
+               ELSE list_append(m.kept, struct_pack(u := h.unit_id, s := h.source, c := h.section, b := h.big, p := h.page, e := h.page_end)) END
+        FROM ms m JOIN ht h ON h.qid = m.qid AND h.rank = m.i + 1)
+    SELECT qid, generate_subscripts(kept, 1) AS rank, unnest(kept).u AS unit_id, unnest(kept).p AS page, unnest(kept).e AS page_end FROM (SELECT * FROM ms QUALIFY i = max(i) OVER (PARTITION BY qid))""")
 def merged_spans(spark, d):
     hits = _reranked(spark, d).select("qid", "unit_id", "rank").join(_chunks(spark, d).withColumnRenamed("page", "at").drop("ord"), "unit_id")
-    return answers.merge_spans(hits.join(answers.expand(_chunks(spark, d), 4000), "unit_id")).select("qid", "rank", "unit_id", "page", "page_end")
+    return answers.merge_spans(hits.join(answers.expand(_chunks(spark, d), 4000, only=hits.select("unit_id")), "unit_id")).select("qid", "rank", "unit_id", "page", "page_end")
 
 
 @query(f"""WITH {FUSED}, {GOLD}, h AS (SELECT qid, unit_id AS page, rank FROM fu WHERE rank <= 20), x AS (SELECT * FROM h ANTI JOIN g USING (qid, page)),

@@ -243,21 +243,55 @@ def heading_paths(spark, d):
     return layout.section_paths(layout.heading_levels(_styled(spark, d)), 3).select("source", "ord", "section")
 
 
-@query()
+def pieces_sql(source: str, size: int, overlap: int) -> str:
+    """CTEs over a table `source` of key, text: pc holds key, piece_no (from 0), piece. Sentences are laid out as units and folded one by one."""
+    stride = size - overlap
+    return f"""
+    pt AS (SELECT key, text FROM {source}),
+    ps AS (SELECT key, generate_subscripts(s, 1) AS si, unnest(s) AS s FROM (SELECT key, list_filter({_sent('text')}, lambda x: regexp_matches(x, '\\S')) AS s FROM pt WHERE length(text) > {size})),
+    pm AS (SELECT *, CASE WHEN length(s) > {size} THEN (length(s) - {size} + {stride - 1}) // {stride} ELSE 0 END AS m FROM ps),
+    pk AS (SELECT key, si, m, s, unnest(generate_series(0, m)) AS k FROM pm),
+    pu AS (SELECT key, substr(s, k * {stride} + 1, CASE WHEN k < m THEN {size} ELSE length(s) END) AS t, k < m AS alone, row_number() OVER (PARTITION BY key ORDER BY si, k) AS i, count(*) OVER (PARTITION BY key) AS n FROM pk),
+    pr AS (SELECT key, 0::BIGINT AS i, 1::BIGINT AS n, []::VARCHAR[] AS open, []::VARCHAR[] AS told FROM (SELECT DISTINCT key FROM pu)
+        UNION ALL
+        SELECT key, i, n, CASE WHEN alone THEN [] WHEN shut THEN list_append(kept, t) ELSE list_append(open, t) END,
+               list_concat(CASE WHEN shut THEN [array_to_string(open, ' ')] ELSE [] END, list_concat(CASE WHEN alone THEN [t] ELSE [] END, CASE WHEN i = n AND NOT alone THEN [array_to_string(CASE WHEN shut THEN list_append(kept, t) ELSE list_append(open, t) END, ' ')] ELSE [] END))
+        FROM (SELECT u.key, u.i, u.n, u.t, u.alone, r.open, len(r.open) > 0 AND (u.alone OR length(array_to_string(r.open, ' ')) + 1 + length(u.t) > {size}) AS shut,
+                     coalesce(list_last(list_filter(list_transform(generate_series(1, len(r.open)), lambda k: r.open[len(r.open) - k + 1:]), lambda x: length(array_to_string(x, ' ')) <= {overlap})), []) AS kept
+              FROM pr r JOIN pu u ON u.key = r.key AND u.i = r.i + 1)),
+    pe AS (SELECT key, i, unnest(told) AS piece, generate_subscripts(told, 1) AS j FROM pr WHERE len(told) > 0),
+    pc AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY i, j) - 1 AS piece_no, piece FROM pe UNION ALL SELECT key, 0, text FROM pt WHERE length(text) <= {size})"""
+
+
+@query(f"WITH RECURSIVE src AS (SELECT doc_id AS key, coalesce(text, '') AS text FROM documents), {pieces_sql('src', 1200, 200)} SELECT key AS unit_id, piece_no, piece FROM pc")
 def split_text_pieces(spark, d):
     return chunking.text_pieces(tables.units(spark, d))
 
 
-@query()
+SECTIONS = ORACLES["heading_paths"].split("SELECT source, ord, concat_ws")[0]
+
+
+@query(f"""{SECTIONS.replace("WITH ", "WITH RECURSIVE ", 1)}, sx AS (SELECT source, ord, kind, text, ord // 100000 AS page, concat_ws(' > ', t1.t, CASE WHEN o2 > coalesce(o1, -1) THEN t2.t END, CASE WHEN o3 > greatest(coalesce(o1, -1), coalesce(o2, -1)) THEN t3.t END) AS section FROM x),
+    bl AS (SELECT *, row_number() OVER (PARTITION BY source, page ORDER BY ord) AS i FROM sx),
+    gr AS (SELECT source, page, 0::BIGINT AS i, 0::BIGINT AS gid, -1::BIGINT AS width, '' AS section FROM (SELECT DISTINCT source, page FROM bl)
+        UNION ALL
+        SELECT b.source, b.page, b.i, CASE WHEN b.kind = 'heading' OR g.width < 0 OR b.section <> g.section OR g.width + length(b.text) > 1200 THEN g.gid + 1 ELSE g.gid END,
+               CASE WHEN b.kind = 'heading' THEN -1 WHEN g.width < 0 OR b.section <> g.section OR g.width + length(b.text) > 1200 THEN length(b.text) ELSE g.width + 1 + length(b.text) END, b.section
+        FROM gr g JOIN bl b ON b.source = g.source AND b.page = g.page AND b.i = g.i + 1),
+    src AS (SELECT {{'s': b.source, 'p': b.page, 'g': gid}} AS key, min(ord) AS ord, any_value(b.section) AS section, string_agg(text, chr(10) ORDER BY ord) AS text FROM gr JOIN bl b ON b.source = gr.source AND b.page = gr.page AND b.i = gr.i WHERE kind <> 'heading' GROUP BY 1),
+    {pieces_sql('src', 1200, 200)},
+    ch AS (SELECT DISTINCT substr(sha1(pc.key.s || '|' || pc.key.p || '|' || piece), 1, 16) AS id, ord, pc.key.s AS source, pc.key.p AS page, section, length(piece) AS n_chars, sha256(piece) AS sha FROM pc JOIN src ON src.key = pc.key)
+    SELECT * FROM ch QUALIFY row_number() OVER (PARTITION BY id ORDER BY ord) = 1""")
 def section_chunks(spark, d):
     paths = layout.section_paths(layout.heading_levels(_styled(spark, d)), 3)
-    return chunking.chunk_blocks(paths.withColumn("page", F.expr("cast(ord div 100000 as int)"))).select("id", "ord", "source", "page", "section", F.length("text").alias("n_chars"))
+    return chunking.chunk_blocks(paths.withColumn("page", F.expr("cast(ord div 100000 as int)"))).select("id", "ord", "source", "page", "section", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("sha"))
 
 
-@query()
+@query(f"""WITH RECURSIVE src AS (SELECT {{'s': source, 'p': doc_id, 'id': substr(sha1(source || '|' || doc_id || '|' || text), 1, 16)}} AS key, text FROM documents), {pieces_sql('src', 300, 50)}
+    SELECT DISTINCT substr(sha1(key.s || '|' || key.p || '|child|' || key.id || piece), 1, 16) AS id, key.id AS parent_id, length(piece) AS n_chars, sha256(piece) AS sha FROM pc""")
 def child_chunks(spark, d):
     chunks = tables.table(spark, d, "documents").select(T.chunk_id(F.col("source"), F.col("doc_id"), F.col("text")).alias("id"), "text", "source", F.col("doc_id").cast("int").alias("page"), F.lit("").alias("section"))
-    return chunking.make_children(chunks).select("id", "parent_id", F.length("text").alias("n_chars"))
+    return chunking.make_children(chunks).select("id", "parent_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("sha"))
 
 
 @query("""WITH w AS (SELECT doc_id AS unit_id, text, lag(text) OVER (PARTITION BY source, lang ORDER BY doc_id) AS b, lead(text) OVER (PARTITION BY source, lang ORDER BY doc_id) AS a FROM documents),
