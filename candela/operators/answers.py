@@ -33,6 +33,12 @@ def compress(passages: DataFrame, scorer, keep: int = 4) -> DataFrame:
     return passages.join(short, ["qid", "unit_id"], "left").select("qid", "unit_id", F.when(F.size(T.sentences(F.col("text"))) <= keep, F.col("text")).otherwise(F.col("short")).alias("text"))
 
 
+def compression_ratio(passages: DataFrame, shown: DataFrame) -> DataFrame:
+    """passages and shown: qid, unit_id, text before and after compression. qid, ratio of their characters."""
+    sizes = passages.select("qid", "unit_id", F.length("text").alias("whole")).join(shown.select("qid", "unit_id", F.length("text").alias("kept")), ["qid", "unit_id"])
+    return sizes.groupBy("qid").agg((F.sum("kept") / F.greatest(F.lit(1), F.sum("whole"))).alias("ratio"))
+
+
 def context_excerpt(chunks: DataFrame, first: int = 4, chars: int = 3000) -> DataFrame:
     """(source, ord, text): the first chunks of each source, joined and cut."""
     top = chunks.withColumn("n", F.row_number().over(W.partitionBy("source").orderBy("ord"))).where(F.col("n") <= first)

@@ -133,12 +133,11 @@ def claim_feedback(spark, d):
     return by.select("qid", answers.feedback(F.col("claims")).alias("told")).where("told <> ''").select("qid", F.sha2("told", 256).alias("sha"))
 
 
-@query("""WITH m AS (SELECT conv_id AS qid, turn, text FROM conversations WHERE role = 'user' AND turn < 2)
-    SELECT qid, sha256(trim(string_agg(text, '') FILTER (turn = 0), ' ')) AS sha FROM m GROUP BY qid HAVING count(*) FILTER (turn = 0) = 1""")
+@query("SELECT conv_id, turn, sha256(trim(list_last(string_split(coalesce(text, ''), 'Question:')), ' ')) AS sha FROM conversations")
 def question_of_prompt(spark, d):
-    first = tables.table(spark, d, "conversations").where("role = 'user' and turn = 0").groupBy(F.col("conv_id").alias("qid")).agg(F.count("*").alias("n"), F.first("text").alias("text")).where("n = 1")
-    prompt = F.concat(F.lit("Passages: Question: of another kind.\n\nQuestion: "), F.col("text"))
-    return first.select("qid", F.sha2(answers.asked_in(prompt), 256).alias("sha"))
+    """Every turn as the question of a prompt whose passages hold the word themselves."""
+    prompt = F.concat(F.lit("Passages: Question: of another kind.\n\nQuestion: "), F.coalesce("text", F.lit("")))
+    return tables.table(spark, d, "conversations").select("conv_id", "turn", F.sha2(answers.asked_in(prompt), 256).alias("sha"))
 
 
 @query("""SELECT conv_id, turn FROM conversations WHERE turn % 2 = 0 AND CASE WHEN conv_id % 3 = 0 THEN turn % 4 = 0 AND length(text) >= 20 ELSE length(text) >= 15 END""")

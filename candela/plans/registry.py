@@ -364,17 +364,26 @@ def claim_dedupe(spark, d):
     return merged.select("qid", "turn", F.size("claims").alias("n_claims"), F.size("kept").alias("n_kept"), F.sha2(told, 256).alias("kept_sha"))
 
 
-@query("SELECT source, round(sum(length(text)) / greatest(1, sum(n_chars)), 3) AS ratio, count(*) AS n FROM documents GROUP BY source")
+SHORT = ORACLES["compress_sentences"].rsplit("SELECT qid, unit_id, sha256", 1)[0]
+
+
+@query(f"{SHORT} SELECT qid, round(sum(length(CASE WHEN len(s) <= 4 THEN text ELSE short END)) / greatest(1, sum(length(text))), 3) AS ratio FROM s LEFT JOIN c USING (qid, unit_id) GROUP BY qid")
 def compression_ratio(spark, d):
-    return tables.table(spark, d, "documents").groupBy("source").agg(F.round(F.sum(F.length("text")) / F.greatest(F.lit(1), F.sum("n_chars")), 3).alias("ratio"), F.count("*").alias("n"))
+    """What the compressor keeps of each question's passages."""
+    hits = _reranked(spark, d).join(tables.units(spark, d).select("unit_id", "text"), "unit_id").join(tables.questions(spark, d).withColumnRenamed("text", "question"), "qid")
+    return answers.compression_ratio(hits, answers.compress(hits, retrieval.overlap_scorer)).select("qid", F.round("ratio", 3).alias("ratio"))
 
 
 # Evaluation
 
+#: Questions up to which they are broadcast.
+MOST_QUESTIONS = 100_000
+
+
 def _gold(spark, d):
-    """Documents that contain a question's text whole: the questions are a stated, small set."""
+    """Documents that contain a question's text whole: the questions are a stated set, and broadcast where it is small."""
     q = tables.questions(spark, d).withColumnRenamed("text", "question")
-    return tables.units(spark, d).join(F.broadcast(q), F.expr("contains(text, question)")).select("qid", F.col("unit_id").alias("page"))
+    return tables.units(spark, d).join(F.broadcast(q) if q.count() <= MOST_QUESTIONS else q, F.expr("contains(text, question)")).select("qid", F.col("unit_id").alias("page"))
 
 
 @query(f"WITH {GOLD} SELECT qid, page FROM g")
