@@ -22,9 +22,14 @@ def ingest(blocks: DataFrame, config: Config) -> DataFrame:
     return chunking.make_children(chunks, config.ingest.child_size, config.ingest.child_overlap) if config.ingest.child_size else chunks
 
 
-def fused(asked: DataFrame, units: DataFrame, config: Config) -> DataFrame:
-    """asked: qid, text, weight, several rows a question. qid, unit_id, score, rank by the reciprocal ranks of all searches."""
-    r = config.retrieval
+def fused(asked: DataFrame, units: DataFrame, config: Config, children: DataFrame | None = None) -> DataFrame:
+    """asked: qid, text, weight, several rows a question. qid, unit_id, score, rank by the reciprocal ranks of all searches.
+
+    children: unit_id, text, parent_id. Where there are any they are searched, and the units they are of take their best
+    child's place.
+    """
+    r, parents = config.retrieval, units
+    units = parents if children is None else children
     keyed = asked.select(F.struct("qid", "text", "weight").alias("qid"), "text")
     found = []
     if r.mode in ("dense", "hybrid"):
@@ -37,16 +42,17 @@ def fused(asked: DataFrame, units: DataFrame, config: Config) -> DataFrame:
         found.append(retrieval.sparse_dot(weights, retrieval.term_weights(units), r.fetch_k))
     ranked = [f.select("qid.qid", "qid.weight", "unit_id", "rank") for f in found]
     both = ranked[0] if len(ranked) == 1 else ranked[0].unionByName(ranked[1])
-    return retrieval.reciprocal_ranks(both, r.rrf_k)
+    ranked = retrieval.reciprocal_ranks(both, r.rrf_k)
+    return ranked if children is None else retrieval.to_parents(ranked, children.select("unit_id", "parent_id"))
 
 
-def candidates(questions: DataFrame, units: DataFrame, config: Config, agents=models) -> DataFrame:
+def candidates(questions: DataFrame, units: DataFrame, config: Config, agents=models, children: DataFrame | None = None) -> DataFrame:
     """Rankings of each question (weight 2) and its parts (weight 1), fused by reciprocal ranks."""
     asked = questions.select("qid", "text", F.lit(2.0).alias("weight"))
     if config.agent.decompose:
         parts = questions.select("qid", F.explode(agents.split_question(F.col("text"), config.agent.max_subqueries)).alias("part"), "text")
         asked = asked.unionByName(parts.where("lower(trim(part)) <> lower(trim(text))").select("qid", F.col("part").alias("text"), F.lit(1.0).alias("weight")))
-    return fused(asked, units, config)
+    return fused(asked, units, config, children)
 
 
 def _reranked(found: DataFrame, questions: DataFrame, units: DataFrame, config: Config, most: int | None = None) -> DataFrame:
@@ -64,7 +70,7 @@ def _gathered(hits: DataFrame) -> DataFrame:
     return hits.groupBy("qid", "question").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("texts"))
 
 
-def corrected(hits: DataFrame, questions: DataFrame, units: DataFrame, config: Config, agents=models) -> DataFrame:
+def corrected(hits: DataFrame, questions: DataFrame, units: DataFrame, config: Config, agents=models, children: DataFrame | None = None) -> DataFrame:
     """Questions whose best score is below crag_threshold are searched again, with a rewrite beside them; old hits are reranked with the new."""
     rerank_k = config.retrieval.rerank_k
     for _ in range(config.agent.crag_retries):
@@ -73,14 +79,14 @@ def corrected(hits: DataFrame, questions: DataFrame, units: DataFrame, config: C
         again = questions.join(weak, "qid", "left_semi")
         rewrites = _gathered(mine).select("qid", agents.rewritten(F.col("question"), F.col("texts")).alias("text"), F.lit(1.0).alias("weight"))
         asked = again.select("qid", "text", F.lit(2.0).alias("weight")).unionByName(rewrites)
-        found = durable(fused(asked, units, config).where(F.col("rank") <= rerank_k))
+        found = durable(fused(asked, units, config, children).where(F.col("rank") <= rerank_k))
         extra = retrieval.unseen(mine, found).select("qid", "unit_id", F.lit(0.0).alias("score"), F.lit(rerank_k).alias("rank"))
         better = _reranked(found.unionByName(extra), again, units, config)
         hits = durable(hits.join(weak, "qid", "left_anti").unionByName(better))
     return hits
 
 
-def iterated(hits: DataFrame, questions: DataFrame, units: DataFrame, config: Config, agents=models) -> DataFrame:
+def iterated(hits: DataFrame, questions: DataFrame, units: DataFrame, config: Config, agents=models, children: DataFrame | None = None) -> DataFrame:
     """Follow-up searches for what the passages lack; the best new hit of each hop is pinned behind the best of the rest.
 
     A follow-up is searched and reranked as a question of its own; its unseen hits join the old ones, and all are
@@ -100,7 +106,7 @@ def iterated(hits: DataFrame, questions: DataFrame, units: DataFrame, config: Co
         wanted = durable(wanted.select("qid", "text", "asked"))
         said = wanted.select("qid", "asked") if said is None else said.unionByName(wanted.select("qid", "asked"))
         asked = wanted.select("qid", "text", F.lit(2.0).alias("weight"))
-        more = _reranked(fused(asked, units, config).where(F.col("rank") <= config.retrieval.rerank_k), wanted, units, config)
+        more = _reranked(fused(asked, units, config, children).where(F.col("rank") <= config.retrieval.rerank_k), wanted, units, config)
         new = durable(retrieval.pinned_best(retrieval.unseen(more, hits).select("qid", "unit_id", "rank"), hop))
         live = new.select("qid").distinct()
         old = hits.join(live, "qid", "left_semi").select("qid", "unit_id", "rank", "pinned")
@@ -114,17 +120,17 @@ def iterated(hits: DataFrame, questions: DataFrame, units: DataFrame, config: Co
     return hits.drop("pinned")
 
 
-def retrieve(questions: DataFrame, units: DataFrame, config: Config, agents=models) -> DataFrame:
+def retrieve(questions: DataFrame, units: DataFrame, config: Config, agents=models, children: DataFrame | None = None) -> DataFrame:
     """qid, unit_id, score, rank, question, text: the top_k after reranking against the whole question, corrected and iterated as set."""
-    found = candidates(questions, units, config, agents).where(F.col("rank") <= config.retrieval.rerank_k)
+    found = candidates(questions, units, config, agents, children).where(F.col("rank") <= config.retrieval.rerank_k)
     hits = _reranked(found, questions, units, config)
     crag = config.agent.crag and config.retrieval.reranker
     if crag or config.agent.retrieval_strategy == "iterative":
         hits = durable(hits)
     if crag:
-        hits = corrected(hits, questions, units, config, agents)
+        hits = corrected(hits, questions, units, config, agents, children)
     if config.agent.retrieval_strategy == "iterative":
-        hits = iterated(hits, questions, units, config, agents)
+        hits = iterated(hits, questions, units, config, agents, children)
     return hits
 
 
@@ -155,16 +161,17 @@ def _told(claims: DataFrame) -> DataFrame:
     return claims.groupBy("qid").agg(kept.alias("kept"), F.count("*").alias("n_claims"), good.alias("n_good"), F.coalesce(F.avg(F.col("supported").cast("int")), F.lit(1.0)).alias("support"))
 
 
-def answer(questions: DataFrame, units: DataFrame, config: Config, agents=models) -> DataFrame:
+def answer(questions: DataFrame, units: DataFrame, config: Config, agents=models, children: DataFrame | None = None) -> DataFrame:
     """qid, action, text, n_claims, n_supported, refused for each question.
 
-    agents makes the calls that need a generator: the stand-ins, or `generation.Agents`.
+    agents makes the calls that need a generator: the stand-ins, or `generation.Agents`. children (unit_id, text,
+    parent_id) are searched in place of the units that answers are made of.
     """
     a = config.agent
     action = agents.route(F.col("text")) if a.route else F.lit("SEARCH")
     routed = questions.withColumn("action", action)
     searched = routed.where("action = 'SEARCH'").select("qid", "text")
-    hits = retrieve(searched, units, config, agents)
+    hits = retrieve(searched, units, config, agents, children)
     if a.min_relevance > 0 and config.retrieval.reranker:
         hits = hits.join(retrieval.weak_questions(hits, a.min_relevance).select("qid"), "qid", "left_anti")
     if a.context != "chunk":

@@ -10,12 +10,13 @@ import re
 
 from pyspark.sql import functions as F
 
-from candela import generation, models
+from candela import generation, models, pipeline
+from candela.config import load_config
 from candela.functions import prompts
 from candela.functions import text as T
-from candela.operators import answers, datasets, evaluate, layout, retrieval
+from candela.operators import answers, chunking, datasets, evaluate, layout, retrieval
 from candela.plans.agent_queries import _chunks
-from candela.plans.registry import BM25, CLAIM_ROWS, GOLD, LINES, METRICS, ORACLES, QUERIES, RERANK, _claims, _fused, _gold, _lines, _metrics, _tok, query, stored
+from candela.plans.registry import BM25, CLAIM_ROWS, GOLD, LINES, METRICS, ORACLES, QUERIES, RERANK, UNITS, _claims, _fused, _gold, _lines, _metrics, _tok, pieces_sql, query, stored
 from candela.sources import index, tables
 
 # Scripted generators
@@ -286,6 +287,22 @@ def late_interaction_topk(spark, d):
     return retrieval.rerank(cands, models.late_interaction_scorer).select("qid", "unit_id", F.round("score", 6).alias("score"), "rank")
 
 
+CHILDREN = f"""src AS (SELECT {{'s': source, 'p': doc_id, 'id': doc_id::VARCHAR}} AS key, coalesce(text, '') AS text FROM documents), {pieces_sql('src', 300, 50)},
+    kd AS (SELECT DISTINCT substr(sha1(key.s || '|' || key.p || '|child|' || key.id || piece), 1, 16) AS unit_id, key.id AS parent, piece AS text FROM pc), u AS (SELECT unit_id, text, {_tok('text')} AS toks FROM kd)"""
+
+
+@query(f"""WITH RECURSIVE {BM25.replace(UNITS, CHILDREN)}, pr2 AS (SELECT qid, parent, min(rank) AS r FROM bm JOIN kd USING (unit_id) GROUP BY ALL),
+    w2 AS (SELECT doc_id::VARCHAR AS parent, {_tok("coalesce(text, '')")} AS toks FROM documents),
+    rs AS (SELECT qid, parent, len(list_intersect(list_distinct(q.toks), list_distinct(w2.toks))) / greatest(len(list_distinct(list_concat(q.toks, w2.toks))), 1) AS score FROM pr2 JOIN q USING (qid) JOIN w2 USING (parent))
+    SELECT qid, parent AS unit_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, parent) AS rank FROM rs QUALIFY rank <= 5""")
+def child_search_topk(spark, d):
+    """Small pieces are searched, and the documents they are of are reranked."""
+    docs = tables.units(spark, d).select(F.col("unit_id").cast("string").alias("unit_id"), "source", "text", F.col("unit_id").cast("int").alias("page"))
+    children = chunking.make_children(docs.select(F.col("unit_id").alias("id"), "text", "source", "page", F.lit("").alias("section"))).select(F.col("id").alias("unit_id"), "text", "parent_id")
+    config = load_config(overrides=["retrieval.mode=sparse", "agent.decompose=false"])
+    return pipeline.retrieve(tables.questions(spark, d), docs, config, children=children).select("qid", "unit_id", F.round("score", 6).alias("score"), "rank")
+
+
 # Layout and sources
 
 @query("SELECT doc_id, concat_ws(chr(10), nullif(source, ''), CASE WHEN doc_id % 3 = 0 THEN lang END) || chr(10) || substr(text, 1, 50) AS head, doc_id + 2 * (doc_id % 2) AS last_page, array_to_string(range(doc_id, doc_id + 2 * (doc_id % 2) + 1), ',') AS pages FROM documents WHERE text <> ''")
