@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from candela.functions import text as T
 
@@ -78,21 +83,67 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
 
 
+#: Query rows that are compared with all vectors in one pass.
+BLOCK = 4096
+
+
+def _by_blocks(queries: DataFrame, against: DataFrame, score, k: int, same_ids: bool) -> DataFrame:
+    """queries: qid, vec, one row or several a query; against: unit_id and what score(query vectors, batch) reads. The top k of each query.
+
+    A block's rows go to the tasks as they are, BLOCK queries at most at once. Each task keeps the k best of a batch for
+    each query, so no pair of a query and a row is ever a row of its own. The scores of a query's vectors are summed.
+    """
+    spark = queries.sparkSession
+    queries = queries.select("qid", "vec").where("vec is not null")
+    blocks = max(1, -(-queries.select("qid").distinct().count() // BLOCK))
+    parts = []
+    for block in range(blocks):
+        mine = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block)
+        held: dict = {}
+        for r in mine.collect():
+            held.setdefault(r["qid"], []).append(r["vec"])
+        ids = list(held)
+        vecs = np.array([v for i in ids for v in held[i]], float)
+        firsts = np.cumsum([0, *(len(held[i]) for i in ids)])[:-1]
+
+        def run(batches: Iterator[pd.DataFrame], ids: list = ids, vecs: np.ndarray = vecs, firsts: np.ndarray = firsts) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if not len(batch) or not ids:
+                    continue
+                scores = np.add.reduceat(score(vecs, batch), firsts, axis=0)
+                units = batch["unit_id"].to_numpy()
+                if same_ids:
+                    scores = np.where(np.array(ids)[:, None] == units[None, :], -np.inf, scores)
+                take = min(k, scores.shape[1])
+                edge = -np.partition(-scores, take - 1, axis=1)[:, take - 1 : take]
+                i, j = np.nonzero((scores >= edge - 1e-8) & (scores > -np.inf))  # ties are settled on rounded scores
+                yield pd.DataFrame({"q": i, "unit_id": units[j], "score": scores[i, j]})
+
+        kind = against.schema["unit_id"].dataType.simpleString()
+        names = spark.createDataFrame(list(enumerate(ids)), StructType([StructField("q", LongType()), StructField("qid", queries.schema["qid"].dataType)]))
+        parts.append(against.mapInPandas(run, f"q long, unit_id {kind}, score double").join(F.broadcast(names), "q").select("qid", "unit_id", "score"))
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    return top_k(found, k, ["qid"])
+
+
 def dense(queries: DataFrame, vectors: DataFrame, k: int = 20, same_ids: bool = True) -> DataFrame:
     """Exact cosine of a stated set of query vectors (qid, vec) against all vectors (unit_id, vec); unit vectors assumed.
 
-    Where queries are units themselves (same_ids), none finds itself.
+    Where queries are units themselves (same_ids), none finds itself. Queries and vectors are compared as matrices,
+    block by block. Rows without a vector are left out.
     """
-    asked = queries.select("qid", F.col("vec").alias("qvec"))
-    pairs = asked.join(vectors, F.col("qid") != F.col("unit_id")) if same_ids else asked.crossJoin(vectors)
-    return top_k(pairs.select("qid", "unit_id", dot(F.col("qvec"), F.col("vec")).alias("score")), k, ["qid"])
+    return _by_blocks(queries, vectors.select("unit_id", "vec").where("vec is not null"), lambda q, batch: q @ np.stack(batch["vec"].to_numpy()).astype(float).T, k, same_ids)
 
 
 def maxsim(query_tokens: DataFrame, unit_tokens: DataFrame, k: int = 20) -> DataFrame:
-    """(qid, tok, vec) by (unit_id, vec): for each query token its best unit token, summed by unit."""
-    pairs = query_tokens.select("qid", "tok", F.col("vec").alias("qvec")).join(unit_tokens, F.col("qid") != F.col("unit_id"))
-    best = pairs.groupBy("qid", "unit_id", "tok").agg(F.max(dot(F.col("qvec"), F.col("vec"))).alias("m"))
-    return top_k(best.groupBy("qid", "unit_id").agg(F.sum("m").alias("score")), k, ["qid"])
+    """(qid, tok, vec) by (unit_id, vec): for each query token its best unit token, summed by unit; no query finds itself.
+
+    A unit's tokens are gathered to one row, so only scores of whole units are shuffled.
+    """
+    units = unit_tokens.where("vec is not null").groupBy("unit_id").agg(F.collect_list("vec").alias("vecs"))
+    return _by_blocks(query_tokens, units, lambda q, batch: np.stack([(q @ np.stack(u).astype(float).T).max(axis=1) for u in batch["vecs"]], axis=1), k, True)
 
 
 def reciprocal_ranks(rankings: DataFrame, k: int = 60) -> DataFrame:
