@@ -5,7 +5,7 @@ at most the fingerprints' Hamming distance. Counts are stored in unary (0: 00, 1
 distance is the popcount of an exclusive or. The grid join deals the segments to B bands: two vectors within a
 distance of d differ in at most d bands, so they share the grid cell of some B - d bands. Within a cell, pairs pass
 the Manhattan bound and then the exact Hamming test; what leaves a cell is a spanning star for each group found, never
-all pairs. Equal fingerprints are collapsed before, and groups are joined into components after.
+all pairs. A cell of over HOT_CELL fingerprints is cut into parts, and any two parts meet in a task of their own. Equal fingerprints are collapsed before, and groups are joined into components after.
 
 B follows the number of distinct fingerprints: more bands make more but finer cells. The links are the same for every
 B.
@@ -35,6 +35,8 @@ from candela.llm.similar_texts import similar_links
 LOW = 0x5555555555555555
 #: log2 of one over the chance that two random 2-bit segments have equal counts.
 SEGMENT_BITS = 1.415
+#: Fingerprints of a grid cell beyond which it is dealt to several tasks, one for each two of its parts.
+HOT_CELL = 4096
 #: Shingles hashed at a time; bounds a worker's memory for very long texts.
 CHUNK = 1 << 16
 
@@ -143,27 +145,39 @@ def cell_links(cells: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.nd
     return fps[moved], fps[root[moved]]
 
 
-def fingerprint_links(nodes: DataFrame, n: int, distance: int = 4, bands: int | None = None) -> DataFrame:
+def fingerprint_links(nodes: DataFrame, n: int, distance: int = 4, bands: int | None = None, hot_cell: int = HOT_CELL) -> DataFrame:
     """nodes: fp, distinct. Links a, b whose components are those of all pairs within the distance."""
     masks = band_masks(bands or bands_for(n, distance), distance)
     u = unary_counts(F.col("fp"))
     keys = nodes.select("fp", u.alias("u")).select("fp", F.explode(F.array(*[F.xxhash64(F.lit(k), F.col("u").bitwiseAND(F.lit(m).cast("long"))) for k, m in enumerate(masks)])).alias("cell"))
+    hot = durable(keys.groupBy("cell").agg(F.count("*").alias("size")).where(F.col("size") > hot_cell))
+    if n_hot := hot.count():
+        # Any two parts of a hot cell meet in a task of their own, so each pair meets and no task holds more than two.
+        parts = F.ceil(F.col("size") / hot_cell).cast("int")
+        mine = F.pmod(F.xxhash64(F.lit(5), "fp"), parts).cast("int")
+        pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.xxhash64("cell", F.least(mine, o), F.greatest(mine, o)))
+        dealt = hot_join(keys, hot, ["cell"], n_hot, F.col("fp"), "left")
+        keys = dealt.select("fp", F.explode(F.when(F.col("size").isNull(), F.array("cell")).otherwise(pairs)).alias("cell"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_c, held_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush(c: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(v) for v in cell_links(c, f, distance)], names=["a", "b"])
 
         for batch in batches:
-            c = np.concatenate([held_c, batch.column(1).to_numpy()])
-            f = np.concatenate([held_f, batch.column(0).to_numpy()])
-            cut = int(np.searchsorted(c, c[-1])) if len(c) else 0  # the last cell may go on in the next batch
-            if cut:
+            c, f = batch.column(1).to_numpy(), batch.column(0).to_numpy()
+            if not len(c):
+                continue
+            held.append((c, f))
+            cut = int(np.searchsorted(c, c[-1]))  # the last cell may go on in the next batch
+            if cut or held[0][0][0] != c[-1]:
+                c, f = (np.concatenate(x) for x in zip(*held, strict=True))
+                cut = int(np.searchsorted(c, c[-1]))
                 yield flush(c[:cut], f[:cut])
-            held_c, held_f = c[cut:], f[cut:]
-        if len(held_c):
-            yield flush(held_c, held_f)
+                held = [(c[cut:], f[cut:])]
+        if held:
+            yield flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return keys.repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(run, "a long, b long")
 

@@ -5,8 +5,8 @@ verify. At a similarity of 0.8 a pair shares one of the BANDS bands with a proba
 
 The rows of a band's cell are spanned by a maximum forest of agreeing sketches: at most one link a row, never all
 pairs, and between any two rows the surest path. Cells of over HOT rows are dealt to parts; the leaders of the parts
-(rows whose sketch agrees with no earlier leader's in a share MARGIN above the similarity) then meet in the cell, where
-each links to the leader most like it. Each link is verified on the whole texts, so no pair below the similarity is
+(rows whose sketch agrees with no earlier leader's in a share MARGIN above the similarity) then meet likewise, any two
+parts of HOT of them in a task. Each link is verified on the whole texts, so no pair below the similarity is
 linked.
 
 That is the first round. Cells whose rows are then not of one component meet again, in parts of HOT rows: rows outside
@@ -38,8 +38,8 @@ BANDS, BAND_ROWS = 21, 6
 MINIMA = 128
 #: Rows of a cell beyond which it is dealt to several tasks.
 HOT = 512
-#: Parts of a leader's links in verification.
-SALTS = 16
+#: Links of a leader that are verified in one task; more are dealt to as many tasks as they need.
+LINKS = 256
 #: How far the share of agreeing sketch bytes may lie off the similarity: 2.8 standard deviations at 0.8.
 MARGIN = 0.1
 CHUNK = 2048
@@ -131,19 +131,16 @@ def forest(ids: list, rows: np.ndarray, link: int) -> list[tuple]:
     return out
 
 
-def _cell_links(keyed: DataFrame, similarity: float, stream: bool = False) -> DataFrame:
-    """keyed: cell, part, doc_id, sketch. Returns a, b: links; where b is null, a is a leader of a part, with cell and sketch.
-
-    Cells are held whole, or, if they stream, by their leaders only.
-    """
+def _cell_links(keyed: DataFrame, similarity: float) -> DataFrame:
+    """keyed: cell, part, doc_id, sketch. Returns a, b: links; where b is null, a is a leader of a part, with cell and sketch."""
     kind = keyed.schema["doc_id"].dataType.simpleString()
     join, link = min(MINIMA, int((similarity + MARGIN) * MINIMA)), int((similarity - MARGIN) * MINIMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, rows, leaders = None, [], [], Leaders(join, link)
+        key, ids, rows = None, [], []
 
         def ended() -> list[tuple]:
-            if stream or (len(ids) < 2 and key[1] < 0):
+            if len(ids) < 2 and key[1] < 0:
                 return []
             sketched = np.concatenate(rows)
             out = [(a, b, None, None) for a, b in forest(ids, sketched, link) if a != b]
@@ -166,17 +163,14 @@ def _cell_links(keyed: DataFrame, similarity: float, stream: bool = False) -> Da
                 if at != key:
                     if key is not None:
                         out += ended()
-                    key, ids, rows, leaders = at, [], [], Leaders(join, link)
+                    key, ids, rows = at, [], []
                     if e - s == 1 and e < n and at[1] < 0:
                         key = None  # alone in its cell
                         continue
                 taken = batch.column(2).slice(s, e - s).to_pylist()
                 sketched = np.frombuffer(b"".join(batch.column(3).slice(s, e - s).to_pylist()), np.uint8).reshape(e - s, MINIMA)
-                if stream:
-                    out += [(a, b, None, None) for a, b in leaders.take(taken, sketched) if a != b]
-                else:
-                    ids += taken
-                    rows.append(sketched)
+                ids += taken
+                rows.append(sketched)
             if out:
                 yield _batch(out, id_type)
         if key is not None and (out := ended()):
@@ -199,14 +193,19 @@ def candidates(made: DataFrame, similarity: float) -> DataFrame:
         return _cell_links(rows.withColumn("part", F.lit(-1)), similarity).select("a", "b").distinct()
     part = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("count") / HOT)).cast("int"), F.lit(-1))
     first = durable(_cell_links(hot_join(rows, hot, ["cell"], n_hot, F.col("doc_id"), "left").select("cell", part.alias("part"), "doc_id", "sketch"), similarity))
-    again = first.where("b is null").select("cell", F.lit(-1).alias("part"), F.col("a").alias("doc_id"), "sketch")
-    return first.where("b is not null").select("a", "b").union(_cell_links(again, similarity, stream=True).select("a", "b")).distinct()
+    leaders = durable(first.where("b is null").select("cell", F.col("a").alias("doc_id"), "sketch"))
+    sizes = durable(leaders.groupBy("cell").agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts")))
+    mine = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.col("parts")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.xxhash64("cell", F.least(mine, o), F.greatest(mine, o)))
+    dealt = hot_join(leaders, sizes, ["cell"], n_hot, F.col("doc_id")).select(F.explode(meets).alias("cell"), F.lit(-1).alias("part"), "doc_id", "sketch")
+    return first.where("b is not null").select("a", "b").union(_cell_links(dealt, similarity).select("a", "b")).distinct()
 
 
 def verified(links: DataFrame, docs: DataFrame, similarity: float, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """The links a, b whose texts' shingle sets have at least the similarity. A leader's text goes once to each part of its links."""
     kind = links.schema["a"].dataType.simpleString()
-    dealt = links.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))
+    sizes = durable(links.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > LINKS))
+    dealt = hot_join(links, sizes, ["b"], sizes.count(), F.col("a"), "left").select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.coalesce("n", F.lit(1)) / LINKS)).cast("int").alias("salt"))
     roles = dealt.select(F.col("a").alias("doc"), "b", "salt", F.lit(1).alias("side")).union(dealt.select(F.col("b").alias("doc"), "b", "salt", F.lit(0).alias("side")).distinct())
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), text_or_empty(text_col).alias("text"))
     placed = texts.join(roles, "doc").repartition("b", "salt").sortWithinPartitions("b", "salt", "side").select("b", "salt", "side", "doc", "text")

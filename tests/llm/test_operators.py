@@ -286,14 +286,14 @@ def test_drop_near_copies_of_odd_rows(tricky, rows_of, empty):
     assert simhash_dedup.drop_near_copies(empty).count() == 0
 
 
-@pytest.mark.parametrize("bands", [5, 6, 7])
-def test_fingerprint_links_miss_no_link(spark, bands):
+@pytest.mark.parametrize("bands,hot", [(5, 4096), (6, 4096), (7, 4096), (6, 5)])
+def test_fingerprint_links_miss_no_link(spark, bands, hot):
     rng = np.random.default_rng(bands)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     prints = {int(b) ^ sum(1 << int(x) for x in rng.choice(64, rng.integers(0, 6), replace=False)) for b in base for _ in range(12)}
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     nodes = spark.createDataFrame([(p,) for p in signed], "fp long")
-    labels = {r["node"]: r["label"] for r in components.components(simhash_dedup.fingerprint_links(nodes, len(signed), 4, bands)).collect()}
+    labels = {r["node"]: r["label"] for r in components.components(simhash_dedup.fingerprint_links(nodes, len(signed), 4, bands, hot)).collect()}
     parent = {p: p for p in signed}
 
     def root(x):
