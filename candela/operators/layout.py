@@ -62,19 +62,29 @@ def heading_levels(blocks: DataFrame) -> DataFrame:
     return df.select("source", "ord", "text", F.when(F.col("heading"), "heading").otherwise("paragraph").alias("kind"), level.cast("int").alias("level"))
 
 
-def section_paths(blocks: DataFrame, max_level: int) -> DataFrame:
+#: Places of a source in one task of section_paths; what the places before hold comes as one row each.
+RANGE = 1_000_000
+
+
+def section_paths(blocks: DataFrame, max_level: int, span: int = RANGE) -> DataFrame:
     """(source, ord, kind, level, text): adds section, the open headings joined by " > ".
 
-    The last heading of a level is open if it came after the last heading of every higher level.
+    The last heading of a level is open if it came after the last heading of every higher level; levels beyond
+    max_level are not looked at. Last headings are carried over ranges of ord first, then within a range, so a long
+    source is no single task.
     """
-    upto = W.partitionBy("source").orderBy("ord").rowsBetween(W.unboundedPreceding, W.currentRow)
-    df = blocks
-    for level in range(1, max_level + 1):
-        here = F.when((F.col("kind") == "heading") & (F.col("level") == level), F.struct("ord", "text"))
-        df = df.withColumn(f"h{level}", F.max(here).over(upto))
+    levels = range(1, max_level + 1)
+    here = {k: F.when((F.col("kind") == "heading") & (F.col("level") == k), F.struct("ord", "text")) for k in levels}
+    df = blocks.withColumn("range_", F.floor(F.col("ord") / span))
+    ends = df.groupBy("source", "range_").agg(*[F.max(here[k]).alias(f"e{k}") for k in levels])
+    earlier = W.partitionBy("source").orderBy("range_").rowsBetween(W.unboundedPreceding, -1)
+    before = ends.select(F.col("source").alias("source_"), F.col("range_").alias("at_"), *[F.max(f"e{k}").over(earlier).alias(f"b{k}") for k in levels])
+    upto = W.partitionBy("source", "range_").orderBy("ord").rowsBetween(W.unboundedPreceding, W.currentRow)
+    df = df.select("*", *[F.max(here[k]).over(upto).alias(f"w{k}") for k in levels]).join(before, F.col("source").eqNullSafe(F.col("source_")) & F.col("range_").eqNullSafe(F.col("at_")))
+    df = df.select(*blocks.columns, *[F.coalesce(f"w{k}", f"b{k}").alias(f"h{k}") for k in levels])
     parts, above = [], F.lit(-1).cast("long")
-    for level in range(1, max_level + 1):
-        at = F.coalesce(F.col(f"h{level}.ord"), F.lit(-1)).cast("long")
-        parts.append(F.when(at > above, F.col(f"h{level}.text")))
+    for k in levels:
+        at = F.coalesce(F.col(f"h{k}.ord"), F.lit(-1)).cast("long")
+        parts.append(F.when(at > above, F.col(f"h{k}.text")))
         above = F.greatest(above, at)
-    return df.withColumn("section", F.concat_ws(" > ", *parts)).drop(*[f"h{i}" for i in range(1, max_level + 1)])
+    return df.withColumn("section", F.concat_ws(" > ", *parts)).drop(*[f"h{k}" for k in levels])

@@ -17,6 +17,7 @@ from candela.functions import text as T
 from candela.operators import answers, chunking, datasets, evaluate, layout, retrieval
 from candela.plans.agent_queries import _chunks
 from candela.plans.registry import BM25, CLAIM_ROWS, GOLD, LINES, METRICS, ORACLES, QUERIES, RERANK, UNITS, _claims, _fused, _gold, _lines, _metrics, _tok, pieces_sql, query, stored
+from candela.session import shared_dir
 from candela.sources import index, tables
 
 # Scripted generators
@@ -385,10 +386,8 @@ _CELLS: dict[tuple[str, str], index.Index] = {}
 
 
 def _vectors(spark, d):
-    from candela.session import shared_dir
-
     key = (spark.sparkContext.applicationId, d)
-    if key not in _CELLS:
+    if key not in _CELLS or not _CELLS[key].whole():
         table = tables.table(spark, d, "embeddings").select(F.col("vec_id").alias("unit_id"), F.lit("").alias("text"), "embedding")
         _CELLS[key] = index.build(table.select("unit_id", "text"), f"{shared_dir(spark)}/vectors-{abs(hash(d))}", vectors=table.select("unit_id", F.col("embedding").alias("vec")), cells=16)
     return _CELLS[key]

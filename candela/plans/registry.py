@@ -36,7 +36,7 @@ _STORED: dict[tuple[str, str], index.Index] = {}
 def stored(spark, d) -> index.Index:
     """The index of the documents, built once a session and folder."""
     key = (spark.sparkContext.applicationId, d)
-    if key not in _STORED:
+    if key not in _STORED or not _STORED[key].whole():
         _STORED[key] = index.build(tables.units(spark, d), f"{shared_dir(spark)}/index-{abs(hash(d))}")
     return _STORED[key]
 

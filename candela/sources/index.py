@@ -30,6 +30,11 @@ class Index:
     spark: SparkSession
     folder: str
 
+    def whole(self) -> bool:
+        """Whether the build is still there."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/terms/_SUCCESS")
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}")
 

@@ -212,3 +212,42 @@ def test_steps_are_timed():
         with t.step(name):
             pass
     assert list(t.seconds) == ["a", "b"] and all(s >= 0 for s in t.seconds.values())
+
+
+def test_correction_by_plain_loops(spark):
+    """Weak questions are searched again with a rewrite; both rankings are fused, and old hits reranked with the new."""
+    rng = random.Random(11)
+    texts = {i: " ".join(rng.choices(WORDS, k=rng.randint(2, 5))) for i in range(30)}
+    asked = {q: " ".join(rng.sample(WORDS, 2 + q)) for q in range(6)}
+    units = spark.createDataFrame(list(texts.items()), "unit_id int, text string")
+    base = ["retrieval.mode=sparse", "retrieval.top_k=3", "retrieval.fetch_k=5", "retrieval.rerank_k=6", "agent.decompose=false"]
+
+    def score(question, unit):
+        a, b = set(question.split()), set(texts[unit].split())
+        return len(a & b) / len(a | b)
+
+    def rankings(questions):
+        out: dict = {}
+        for r in sorted(retrieval.bm25(spark.createDataFrame(list(questions.items()), "qid int, text string"), units, 5).collect(), key=lambda r: r["rank"]):
+            out.setdefault(r["qid"], []).append(r["unit_id"])
+        return out
+
+    def best(question, pool):
+        return sorted(pool, key=lambda u: (-round(score(question, u), 9), u))[:3]
+
+    first = rankings(asked)
+    hits = {q: best(asked[q], ranked) for q, ranked in first.items()}
+    weak = {q for q, h in hits.items() if score(asked[q], h[0]) < 0.5}
+    again = rankings({q: " ".join(dict.fromkeys([*asked[q].split(), *texts[hits[q][0]].split()[:8]])) for q in weak})
+    for q in weak:
+        fused: dict = {}
+        for weight, ranked in ((2.0, first[q]), (1.0, again[q])):
+            for i, u in enumerate(ranked):
+                fused[u] = fused.get(u, 0.0) + weight / (61 + i)
+        found = sorted(fused, key=lambda u: (-round(fused[u], 12), u))[:6]
+        hits[q] = best(asked[q], {*found, *hits[q]})
+    got: dict = {}
+    df = spark.createDataFrame(list(asked.items()), "qid int, text string")
+    for r in sorted(pipeline.retrieve(df, units, load_config(overrides=[*base, "agent.crag=true"])).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["qid"], []).append(r["unit_id"])
+    assert got == hits and 0 < len(weak) < len(asked)

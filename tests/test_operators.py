@@ -55,6 +55,7 @@ def test_section_paths_by_brute_force(spark):
     rows = [(f"s{s}", i, *rng.choice([("heading", f"h{i}", 1), ("heading", f"h{i}", 2), ("heading", f"h{i}", 3), ("paragraph", f"p{i}", 0), ("table", f"t{i}", 0)])) for s in range(3) for i in range(40)]
     df = spark.createDataFrame([(s, i, k, t, lv) for s, i, k, t, lv in rows], "source string, ord long, kind string, text string, level int")
     got = {(r["source"], r["ord"]): r["section"] for r in layout.section_paths(df, 3).collect()}
+    assert got == {(r["source"], r["ord"]): r["section"] for r in layout.section_paths(df, 3, 7).collect()}
     for s, i, *_ in rows:
         heads = [(j, t, lv) for s2, j, k, t, lv in rows if s2 == s and j <= i and k == "heading"]
         want = [t for j, t, lv in heads if not any(j < j2 and lv2 <= lv for j2, _, lv2 in heads)]
