@@ -1,4 +1,8 @@
-"""Context for answers, and claims: expansion, compression, parsing, verification, rendering and rewards."""
+"""Context for answers, and claims: expansion, compression, parsing, verification, rendering and rewards.
+
+Cases: null texts stay null and are joined to nothing. Claims whose passages are missing have a score of 0 and are not
+supported. Ties go to the earlier sentence, passage or prompt. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Section-aware chunks of blocks, and child chunks for small-to-big retrieval."""
+"""Section-aware chunks of blocks, and child chunks for small-to-big retrieval.
+
+Cases: a null text counts as empty. Chunks of one source, page and text are one. Empty tables give empty results; extra
+columns are ignored.
+"""
 
 from __future__ import annotations
 
@@ -22,7 +26,8 @@ def chunk_blocks(blocks: DataFrame, size: int = 1200, overlap: int = 200) -> Dat
     """
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("ord")
+        group = group.sort_values("ord", kind="stable")
+        group["text"] = group["text"].fillna("")
         out: list[tuple] = []
         held: list[str] = []
         about: tuple | None = None

@@ -1,4 +1,8 @@
-"""Retrieval metrics, summaries, calibration, confidence intervals and sampling for evaluation sets."""
+"""Retrieval metrics, summaries, calibration, confidence intervals and sampling for evaluation sets.
+
+Cases: questions without hits or gold have metrics of 0, and all of no gold pages are found. Null measures are left out
+of means. Ties are broken by id. Empty tables give empty results; extra columns are ignored.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Document layout: reading order, fonts, running text, headings and section paths over tables of spans and blocks."""
+"""Document layout: reading order, fonts, running text, headings and section paths over tables of spans and blocks.
+
+Cases: a null text counts as empty and is no heading, one without a size or a mark neither. Equal sizes go to the
+smaller one, equal places keep their order. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 
@@ -17,7 +21,7 @@ def reading_order(blocks: DataFrame) -> DataFrame:
 
 def joined_lines(lines: DataFrame) -> DataFrame:
     """(source, block, line, text): one text per block; a hyphen before a lower-case line is glued."""
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda r: r["text"])
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("line", F.coalesce("text", F.lit("")).alias("text")))), lambda r: r["text"])
     glued = F.aggregate("rows", F.lit(""), lambda acc, t: F.when(acc == "", t).when(acc.endswith("-") & t.rlike(r"^\p{Ll}"), F.concat(F.regexp_replace(acc, "-$", ""), t)).otherwise(F.concat_ws(" ", acc, t)))
     return lines.groupBy("source", "block").agg(rows.alias("rows")).select("source", "block", F.trim(F.regexp_replace(glued, r"\s+", " ")).alias("text"))
 
@@ -53,11 +57,12 @@ def without_running_text(blocks: DataFrame, running: DataFrame) -> DataFrame:
 
 def heading_levels(blocks: DataFrame) -> DataFrame:
     """(source, ord, text, size, bold, body): kind and level. Larger heading sizes rank higher; bold body-size headings come last."""
-    df = blocks.withColumn("heading", T.is_heading(F.col("text"), F.col("size"), F.col("bold"), F.col("body")))
+    df = blocks.withColumn("heading", F.coalesce(T.is_heading(F.col("text"), F.col("size"), F.col("bold"), F.col("body")), F.lit(False)))
     large = F.col("heading") & (F.col("size") >= F.col("body") + 1)
     sizes = df.where(large).select("source", "size").distinct().withColumn("rank", F.dense_rank().over(W.partitionBy("source").orderBy(F.col("size").desc())))
     last = sizes.groupBy("source").agg(F.max("rank").alias("last"))
-    df = df.withColumn("large", large).join(sizes, ["source", "size"], "left").join(last, "source", "left")
+    sizes, last = sizes.select(F.col("source").alias("of_"), F.col("size").alias("size_"), "rank"), last.select(F.col("source").alias("in_"), "last")
+    df = df.withColumn("large", large).join(sizes, F.col("source").eqNullSafe(F.col("of_")) & (F.col("size") == F.col("size_")), "left").join(last, F.col("source").eqNullSafe(F.col("in_")), "left")
     level = F.when(~F.col("heading"), 0).when(F.col("large"), F.col("rank")).otherwise(F.coalesce("last", F.lit(0)) + 1)
     return df.select("source", "ord", "text", F.when(F.col("heading"), "heading").otherwise("paragraph").alias("kind"), level.cast("int").alias("level"))
 

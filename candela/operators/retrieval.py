@@ -1,4 +1,8 @@
-"""Lexical, sparse, dense and late-interaction retrieval over a table of questions, and rank fusion."""
+"""Lexical, sparse, dense and late-interaction retrieval over a table of questions, and rank fusion.
+
+Cases: null texts have no tokens and are found by no search, but count as units. Questions without tokens find nothing.
+Equal scores, rounded, rank by unit_id. Empty tables give empty results; extra columns are ignored.
+"""
 
 from __future__ import annotations
 
@@ -21,8 +25,8 @@ def top_k(scored: DataFrame, k: int, by: list[str], score: str = "score", tie: s
 
 
 def token_lists(units: DataFrame) -> DataFrame:
-    """units: unit_id, text. unit_id, dl, toks, units without tokens included."""
-    toks = units.select("unit_id", T.tokens(F.col("text")).alias("toks"))
+    """units: unit_id, text. unit_id, dl, toks, units without tokens included; a null text has none."""
+    toks = units.select("unit_id", T.tokens(F.coalesce("text", F.lit(""))).alias("toks"))
     return toks.select("unit_id", F.size("toks").alias("dl"), "toks")
 
 
@@ -38,7 +42,7 @@ def postings(units: DataFrame) -> DataFrame:
 
 def corpus_stats(units: DataFrame) -> DataFrame:
     """One row: n units and their mean length, units without tokens included."""
-    return units.select(F.size(T.tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    return token_lists(units).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def term_stats(posts: DataFrame, stats: DataFrame) -> DataFrame:
