@@ -231,9 +231,10 @@ def verified(links: DataFrame, docs: DataFrame, similarity: float, id_col: str,
 
 
 def _open_rows(made: DataFrame, found: DataFrame) -> DataFrame:
-    """cell, doc_id, sketch, label, size and main of the rows of cells whose rows are not all of one component.
+    """cell, doc_id, sketch, label, size, main and others of the rows of cells whose rows are not all of one component.
 
-    label names a row's component over the links found so far; size counts the cell's rows; main is its largest label.
+    label names a row's component over the links found so far; size counts the cell's rows; main is its largest label,
+    and others counts the rows that are not of it.
     """
     labels = components(found)
     n = labels.count()
@@ -242,7 +243,7 @@ def _open_rows(made: DataFrame, found: DataFrame) -> DataFrame:
     cells = durable(rows.groupBy("cell").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("cell", "size"))
     n_cells = cells.count()
     left = durable(hot_join(rows, cells, ["cell"], n_cells, F.col("doc_id")))
-    largest = left.groupBy("cell", "label").count().groupBy("cell").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+    largest = left.groupBy("cell", "label").count().groupBy("cell").agg(F.max_by("label", F.struct("count", "label")).alias("main"), (F.sum("count") - F.max("count")).alias("others"))
     return hot_join(left, largest, ["cell"], n_cells, F.col("doc_id"))
 
 
@@ -256,16 +257,19 @@ def _grams(text: bytes, shingle: int) -> np.ndarray:
 def _open_links(rows: DataFrame, docs: DataFrame, similarity: float, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """rows: _open_rows(). Links a, b that join what is alike of different labels, compared on the hashes of all shingles.
 
-    A cell's parts are met by every row that is not of its main label, so that each pair of different labels meets in
-    some part. Pairs are compared where they meet and never become rows; each link joins two labels of its part.
+    A cell's parts are met by every row that is not of its main label, HOT of these at a time, so that each pair of
+    different labels meets in some task and no task holds more than two times HOT rows. Pairs are compared where they meet
+    and never become rows; each link joins two labels of its task.
     """
     kind = rows.schema["doc_id"].dataType.simpleString()
     link = int((similarity - MARGIN) * MINIMA)
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     parts = F.ceil(F.col("size") / HOT).cast("int")
     mine = F.pmod(F.xxhash64("doc_id"), parts).cast("int")
-    resident = rows.select("cell", mine.alias("part"), F.lit(0).alias("visits"), "doc_id", "sketch", "label")
-    visitors = rows.where("label <> main").select("cell", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(1).alias("visits"), "doc_id", "sketch", "label")
+    groups = F.ceil(F.col("others") / HOT).cast("int")
+    group = F.pmod(F.xxhash64(F.lit(9), "doc_id"), groups).cast("int")
+    resident = rows.select("cell", F.explode(F.transform(F.sequence(F.lit(0), groups - 1), lambda g: mine * groups + g)).alias("part"), F.lit(0).alias("visits"), "doc_id", "sketch", "label")
+    visitors = rows.where("label <> main").select("cell", F.explode(F.transform(F.sequence(F.lit(0), parts - 1), lambda p: p * groups + group)).alias("part"), F.lit(1).alias("visits"), "doc_id", "sketch", "label")
     dealt = texts.join(resident.union(visitors), "doc_id").select("cell", "part", "visits", "doc_id", "sketch", "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
