@@ -147,7 +147,7 @@ def maxsim_topk(spark, d):
 
 def _fused(spark, d):
     bm = stored(spark, d).bm25(tables.questions(spark, d)).withColumn("weight", F.lit(2.0))
-    return retrieval.reciprocal_ranks(bm.unionByName(_sparse(spark, d).withColumn("weight", F.lit(1.0))))
+    return retrieval.held(retrieval.reciprocal_ranks(bm.unionByName(_sparse(spark, d).withColumn("weight", F.lit(1.0)))))
 
 
 @query(f"WITH {FUSED} SELECT qid, unit_id, round(score, 9) AS score, rank FROM fu")
@@ -170,7 +170,7 @@ def hybrid_candidates(spark, d):
 def _reranked(spark, d):
     asked = tables.questions(spark, d).select("qid", T.tokens(F.col("text")).alias("question"))
     cands = _fused(spark, d).where("rank <= 20").join(stored(spark, d).table("tokens").select("unit_id", F.col("toks").alias("text")), "unit_id").join(asked, "qid")
-    return retrieval.rerank(cands, retrieval.token_scorer).select("qid", "unit_id", "score", "rank")
+    return retrieval.held(retrieval.rerank(cands, retrieval.token_scorer).select("qid", "unit_id", "score", "rank"))
 
 
 @query(f"WITH {RERANK} SELECT qid, unit_id, round(score, 6) AS score, rank FROM re")
@@ -192,7 +192,7 @@ def relevance_gate(spark, d):
 def iterative_hop(spark, d):
     first = _reranked(spark, d)
     new = retrieval.pinned_best(retrieval.unseen(_sparse(spark, d), first).select("qid", "unit_id", "rank"), 1)
-    pool = first.select("qid", "unit_id", F.lit(0).alias("pinned")).unionByName(new.select("qid", "unit_id", "pinned"))
+    pool = retrieval.held(first.select("qid", "unit_id", F.lit(0).alias("pinned")).unionByName(new.select("qid", "unit_id", "pinned")))
     texts = pool.join(tables.units(spark, d).select("unit_id", "text"), "unit_id").join(tables.questions(spark, d).withColumnRenamed("text", "question"), "qid")
     scored = texts.select("qid", "unit_id", "pinned", retrieval.overlap_scorer(F.col("question"), F.col("text")).alias("score"))
     return retrieval.follow_up(scored, 5).select("qid", "unit_id", "pinned", "rank")
@@ -376,14 +376,9 @@ def compression_ratio(spark, d):
 
 # Evaluation
 
-#: Questions up to which they are broadcast.
-MOST_QUESTIONS = 100_000
-
-
 def _gold(spark, d):
-    """Documents that contain a question's text whole: the questions are a stated set, and broadcast where it is small."""
-    q = tables.questions(spark, d).withColumnRenamed("text", "question")
-    return tables.units(spark, d).join(F.broadcast(q) if q.count() <= MOST_QUESTIONS else q, F.expr("contains(text, question)")).select("qid", F.col("unit_id").alias("page"))
+    """Documents that contain a question's text whole."""
+    return retrieval.containing(tables.questions(spark, d), tables.units(spark, d)).withColumnRenamed("unit_id", "page")
 
 
 @query(f"WITH {GOLD} SELECT qid, page FROM g")
