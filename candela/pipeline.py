@@ -39,11 +39,11 @@ def fused(asked: DataFrame, units: DataFrame, config: Config, children: DataFram
         found.append(retrieval.bm25(keyed, units, r.fetch_k, r.k1, r.b))
     elif r.mode in ("sparse", "hybrid"):
         weights = retrieval.query_terms(keyed).withColumn("w", F.lit(1.0))
-        found.append(retrieval.sparse_dot(weights, retrieval.term_weights(units), r.fetch_k))
+        found.append(retrieval.sparse_of_lists(weights, retrieval.token_lists(units), r.fetch_k))
     ranked = [f.select("qid.qid", "qid.weight", "unit_id", "rank") for f in found]
     both = ranked[0] if len(ranked) == 1 else ranked[0].unionByName(ranked[1])
-    ranked = retrieval.reciprocal_ranks(both, r.rrf_k)
-    return ranked if children is None else retrieval.to_parents(ranked, children.select("unit_id", "parent_id"))
+    ranked = retrieval.held(retrieval.reciprocal_ranks(both, r.rrf_k))
+    return ranked if children is None else retrieval.held(retrieval.to_parents(ranked, children.select("unit_id", "parent_id")))
 
 
 def candidates(questions: DataFrame, units: DataFrame, config: Config, agents=models, children: DataFrame | None = None) -> DataFrame:
@@ -58,6 +58,7 @@ def candidates(questions: DataFrame, units: DataFrame, config: Config, agents=mo
 def _reranked(found: DataFrame, questions: DataFrame, units: DataFrame, config: Config, most: int | None = None) -> DataFrame:
     """qid, unit_id, score, rank, question, text of found (qid, unit_id, score, rank), by the reranker where there is one."""
     r = config.retrieval
+    found = retrieval.held(found.select("qid", "unit_id", "score", "rank"))
     texts = found.join(units.select("unit_id", "text"), "unit_id").join(questions.select("qid", F.col("text").alias("question")), "qid")
     if r.reranker is None:
         return texts.where(F.col("rank") <= (most or r.top_k)).select("qid", "unit_id", "score", "rank", "question", "text")
